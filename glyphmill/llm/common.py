@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+@contextmanager
+def shuffle_cleanup(spark: SparkSession):
+    """While it holds, shuffle files of an action go when the action is over, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/glyphmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffle_cleanup(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, decontaminate, language_id, near_dedup, url_filter, wavelet
+from glyphmill.llm import bpe, decontaminate, html_wrappers, language_id, license_scan, line_dedup, media_chunks, near_dedup, url_filter, wavelet
 from glyphmill.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -42,6 +46,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs)
@@ -49,8 +57,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "phrase_len")
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_features(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = (op1_byte_bpe, op3_url_filter, op4_wavelet_ids, op5_decontaminate, op6_near_dedup, op8_language_id)
+    named = (op1_byte_bpe, op2_html_text, op3_url_filter, op4_wavelet_ids, op5_decontaminate, op6_near_dedup, op7_license_scan, op8_language_id, op9_media_chunks, op10_line_dedup)
     return {f.__name__: f for f in named}
 
 
