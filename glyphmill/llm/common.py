@@ -82,6 +82,19 @@ def nullable(schema: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that further columns clash with none of them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores added, as no column of ``docs`` is called."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that Python objects of few rows live at once."""
     for batch in batches:

@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from glyphmill.llm.common import nullable, slices, text_bytes
+from glyphmill.llm.common import nullable, packed, slices, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -125,14 +126,10 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[byt
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of ``docs`` with (n_words, hit spans as bytes per word, item ids found).
-
-    Adds ``_n_words``, ``_n_hit`` and ``_items`` (sorted distinct ids, nulls left out) to the columns of ``docs``.
-    """
+    """(row, n_words, n_hit, items): ``row`` has the columns of ``docs``, ``items`` the sorted distinct ids found, without nulls."""
     spark = docs.sparkSession
-    at = docs.columns.index("text")
-    now = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<bigint>")})
-    schema = nullable(now.schema)
+    now = packed(docs).withColumns({"hit": F.lit(None).cast("binary"), "items": F.array().cast("array<bigint>")})
+    schema = StructType([StructField("row", nullable(docs.schema)), StructField("hit", BinaryType()), StructField("items", ArrayType(LongType()))])
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     for ids, texts in _blocks(items, block_bytes):
         if not texts:
@@ -147,26 +144,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             search = _built[key].search
             for rows in slices(batches):
                 hits, named = [], []
-                for t, old, was in zip(text_bytes(rows.column(at)), rows.column(rows.num_columns - 2).to_pylist(), rows.column(rows.num_columns - 1).to_pylist()):
+                for t, old, was in zip(text_bytes(rows.column(0).field("text")), rows.column(1).to_pylist(), rows.column(2).to_pylist()):
                     ws = words(t)
                     hit = bytearray(old) if old else bytearray(len(ws))
                     found = search(ws, hit)
                     hits.append(bytes(hit) if found or old else None)
                     named.append(sorted({*was, *(ids[k] for k in found if ids[k] is not None)}) if found else was)
-                cols = rows.columns[:-2] + [pa.array(hits, pa.binary()), pa.array(named, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(hits, pa.binary()), pa.array(named, pa.list_(pa.int64()))], names=["row", "hit", "items"])
 
         now = now.mapInArrow(run, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            n = [len(words(t)) for t in text_bytes(rows.column(at))]
-            hit = [sum(h) if h else 0 for h in rows.column(rows.num_columns - 2).to_pylist()]
-            cols = rows.columns[:-2] + [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), rows.columns[-1]]
-            yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names[:-2], "_n_words", "_n_hit", "_items"])
+            n = [len(words(t)) for t in text_bytes(rows.column(0).field("text"))]
+            hit = [sum(h) if h else 0 for h in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), rows.column(2)], names=["row", "n_words", "n_hit", "items"])
 
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long"), "_items": F.array().cast("array<bigint>")})
-    return now.mapInArrow(count, nullable(out.schema))
+    out = StructType([StructField("row", nullable(docs.schema)), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(LongType()))])
+    return now.mapInArrow(count, out)
 
 
 def items_digest(ids: list[int]) -> str:

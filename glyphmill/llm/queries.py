@@ -35,11 +35,8 @@ def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    names = F.sort_array(F.transform("_items", lambda i: i.cast("string")))
-    return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"),
-    )
+    names = F.sort_array(F.transform("items", lambda i: i.cast("string")))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def features(host: str, path: str, low: int = 3, high: int = 6, path_share: floa
         grams = {tag + text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)}
         found = sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams})
         slots += found
-        values += [share / len(found) ** 0.5] * len(found)
+        values += [share / max(1, len(found)) ** 0.5] * len(found)
     return np.array(slots, np.int64), np.array(values)
 
 
