@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FAMILIES: list = []
+from glyphmill.queries import statistics
+
+FAMILIES = [statistics]
 
 
 def FLAGSHIP(spark, sf_dir):
