@@ -260,7 +260,7 @@ def confirmed_links(groups: DataFrame, percent: int, estimate: float) -> DataFra
     return group_ids(groups, run, "a bigint, b bigint", "node")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, leaf: int = 800, levels: int = 6, margin: float = 0.2, group_docs: int = 3000, group_shingles: int = 8_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 10, leaf: int = 4096, levels: int = 6, margin: float = 0.2, group_docs: int = 3000, group_shingles: int = 8_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     estimate = percent / 100 - margin
     rows = save(sketch(docs, width), "near-sketch")
