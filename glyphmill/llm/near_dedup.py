@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     # full sets are made again, for one document of each class that has a loose link
     known_id = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     wanted = members.select("id", known_id("least").alias("key")).distinct()
-    texts = docs.select(known_id("doc_id").alias("key"), "text").join(wanted, "key").select("id", "text")
+    texts = docs.select(known_id("doc_id").alias("key"), "text").join(wanted.hint("merge"), "key").select("id", "text")
     # an id that stands for several texts brings them all; only the class's own stays
     sets = full_sets(texts, width).where(F.xxhash64("digest") == F.col("id")).drop("digest").dropDuplicates(["id"])
     groups = by_component.unionByName(by_leaf).join(sets, "id").select("node", "id", "sig", "shingles")
