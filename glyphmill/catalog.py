@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from glyphmill.queries import statistics
+from glyphmill.queries import domain, statistics, structures
 
-FAMILIES = [statistics]
+FAMILIES = [statistics, structures, domain]
 
 
 def FLAGSHIP(spark, sf_dir):
