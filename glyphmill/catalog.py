@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from glyphmill.queries import domain, statistics, structures
+from glyphmill.queries import domain, extras, statistics, structures
 
-FAMILIES = [statistics, structures, domain]
+FAMILIES = [statistics, structures, domain, extras]
 
 
 def FLAGSHIP(spark, sf_dir):

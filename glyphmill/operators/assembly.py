@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.codes import formula_index
 from glyphmill.operators.lexicon import dedup_assembly
+from glyphmill.operators.priority import Guarded, join
 
 
 class NoRule(ValueError):
@@ -68,3 +72,42 @@ def assemble(lexicon: DataFrame, analyses: DataFrame, rules: list[dict], dedupe_
             raise NoRule(f"words of {lacking[0]['n']} characters")
     rows = made.select("ord", "word", "pinyin", F.array_join(F.coalesce("_seq", F.array().cast("array<string>")), " ").alias("seq"), "freq")
     return dedup_assembly(rows, dedupe_variants)
+
+
+def assemble_dynamic(lexicon: DataFrame, lists: DataFrame, rules: list[dict]) -> DataFrame:
+    """(word, seq, conditions, ord, place): sequences under conditions, of characters whose analyses are priority lists.
+
+    ``lists`` has char, place, conditions (array) and seq (array). A word's lists are gathered in its row and joined there in
+    priority order; a word without a rule has an empty sequence. Of equal sequences of a word the first stays.
+    """
+    from glyphmill.operators.lexicon import dedup_dynamic
+
+    parts = lexicon.select("ord", F.posexplode("chars").alias("k", "char")).join(lists, "char", "left")
+    per = parts.groupBy("ord", "k").agg(F.array_sort(F.collect_list(F.struct("place", "conditions", "seq"))).alias("rows"), F.bool_and(F.col("place").isNotNull()).alias("known"))
+    whole = per.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rows"))), lambda x: x["rows"]).alias("lists"), F.bool_and("known").alias("known")).where("known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ord_, word, given in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                guarded = [[Guarded(tuple(r["conditions"]), list(r["seq"])) for r in rows] for rows in given]
+                for place, g in enumerate(join(guarded, lambda seqs: seqs)):
+                    out.append({"ord": ord_, "word": word, "seq": " ".join(compose_list(rules, g.value)), "conditions": " ".join(g.conditions), "place": place})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("ord", pa.int64()), ("word", pa.string()), ("seq", pa.string()), ("conditions", pa.string()), ("place", pa.int32())]))
+
+    made = lexicon.join(whole, "ord").select(F.col("ord").cast("bigint").alias("ord"), "word", "lists").mapInArrow(run, "ord bigint, word string, seq string, conditions string, place int")
+    ordered = made.withColumn("_o", F.struct("ord", "place"))
+    return dedup_dynamic(ordered.select("word", "seq", F.col("_o").alias("ord"), "conditions")).select("word", "seq", "conditions", F.col("ord.ord").alias("ord"), F.col("ord.place").alias("place"))
+
+
+def compose_list(rules: list[dict], seqs: list[list[str]]) -> list[str]:
+    """The same composition as ``compose_positions``, over lists; a single character is its sequence, no rule is empty."""
+    if len(seqs) == 1:
+        return seqs[0]
+    rule = next((r for r in rules if ("length_equal" in r and r["length_equal"] == len(seqs)) or ("length_in_range" in r and r["length_in_range"][0] <= len(seqs) <= r["length_in_range"][1])), None)
+    out = []
+    for a, b in zip(rule["formula"][::2], rule["formula"][1::2]) if rule else ():
+        i, j = formula_index(a), formula_index(b)
+        if -len(seqs) <= i < len(seqs) and -len(seqs[i]) <= j < len(seqs[i]):
+            out.append(seqs[i][j])
+    return out
