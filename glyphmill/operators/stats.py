@@ -95,8 +95,8 @@ def unary_distribution(rows: DataFrame, weighted: bool, alphabet: str = C.ALPHAB
     filled = struck.groupBy("key").agg((F.sum("w") if weighted else F.count("*").cast("double")).alias("x")).join(F.broadcast(domain), "key", "full").select("key", F.coalesce("x", F.lit(0.0)).alias("x"))
     if not weighted:
         return filled.select("key", F.col("x").alias("value"))
-    total = filled.agg(F.sum("x").alias("total"))
-    return filled.crossJoin(F.broadcast(total)).select("key", F.round(F.expr("try_divide(x, total)"), 6).alias("value"))
+    # an alphabet's rows: one window over all of them is small
+    return filled.withColumn("total", F.sum("x").over(Window.partitionBy())).select("key", F.round(F.expr("try_divide(x, total)"), 6).alias("value"))
 
 
 def pair_counts(rows: DataFrame, first: int, second: int) -> DataFrame:

@@ -71,8 +71,7 @@ def user_ranking(samples: DataFrame, user: str, value: str) -> DataFrame:
 def key_pairs(spark) -> DataFrame:
     """The 1,225 pairs of a grid of 5 rows and 7 columns, with geometry: distance (-1 for different hands) and displacement."""
     i, f = F.col("initial"), F.col("final")
-    ends = spark.range(35).select(F.col("id").cast("int").alias("initial"))
-    pairs = ends.crossJoin(ends.select(F.col("initial").alias("final")))  # a fixed square
+    pairs = spark.range(35).select(F.col("id").cast("int").alias("initial"), F.explode(F.sequence(F.lit(0), F.lit(34))).alias("final"))
     hands = (i != f) & (((i < 20) & (f >= 15)) | ((i >= 15) & (f < 20)))
     col, row = lambda n: F.floor(n / 5).cast("int"), lambda n: n % 5
     dx, dy = col(f) - col(i), row(f) - row(i)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,12 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        path = tempfile.mkdtemp(prefix="glyphmill-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[app] = f"file://{path}"
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:

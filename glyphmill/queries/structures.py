@@ -6,6 +6,7 @@ Binding T: the tables as stand-ins (a graph from regions to orders, times from e
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import pinyin, unicode
@@ -269,8 +270,6 @@ def exact_cover(spark, d):
 
 
 def _ranked(spark):
-    from pyspark.sql import Window
-
     bits = F.transform("path", lambda m: F.bit_count(m))
     keys = _covers(spark).withColumns({"n": F.size("path"), "sizes": F.transform(bits, lambda b: -b)})
     return keys.withColumn("place", F.row_number().over(Window.orderBy("n", "sizes", "path")))
@@ -285,10 +284,10 @@ def usable_schemes(spark, d):
     r = _ranked(spark)
     roots = r.select("place", F.explode("path").alias("mask")).join(F.broadcast(FX_MASKS.df(spark)), "mask")
     asked = roots.groupBy("place").agg(F.array_sort(F.collect_list(F.when(~F.col("necessary"), F.col("root")))).alias("asked"))
-    stop = asked.where(F.size("asked") == 0).agg(F.min("place").alias("stop"))
+    asked = asked.withColumn("stop", F.min(F.when(F.size("asked") == 0, F.col("place"))).over(Window.partitionBy()))
     a, b = asked.alias("a"), asked.alias("b")
     beaten = a.join(b, (F.col("b.place") < F.col("a.place")) & (F.size(F.array_except("b.asked", "a.asked")) == 0)).select(F.col("a.place").alias("place")).distinct().withColumn("beaten", F.lit(True))
-    out = r.join(asked, "place").join(beaten, "place", "left").crossJoin(F.broadcast(stop))
+    out = r.join(asked, "place").join(beaten, "place", "left")
     return out.select("place", F.array_join("path", "+").alias("cover"), (F.col("beaten").isNull() & (F.col("place") <= F.coalesce("stop", F.lit(1 << 30)))).alias("usable"))
 
 
