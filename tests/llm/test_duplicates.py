@@ -191,8 +191,8 @@ def brute_lines(rows, min_words=5, percent=90):
         for n, line in enumerate(text.split("\n") if text else []):
             ws = line_dedup.normalise(line)
             if len(ws) >= min_words:
-                h = " ".join(ws)
-                classes[h] = line_dedup.SimHasher().hashes([ws])[0]
+                h = b" ".join(ws).decode()
+                classes[h] = line_dedup.SimHasher().hashes([h.encode()])[0]
                 at = (key if key is not None else line_dedup.LAST, n)
                 first[h] = min(first.get(h, at), at)
                 occ.append((at, h))
@@ -204,23 +204,9 @@ def brute_lines(rows, min_words=5, percent=90):
             h = up[h]
         return h
 
-    near = []
     for i, a in enumerate(names):
         for b in names[:i]:
-            if ((int(classes[a]) ^ int(classes[b])) & (1 << 64) - 1).bit_count() <= 3:
-                near.append((a, b))
-    loose = {h: h for h in names}
-
-    def loose_root(h):
-        while loose[h] != h:
-            h = loose[h]
-        return h
-
-    for a, b in near:
-        loose[loose_root(a)] = loose_root(b)
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            if loose_root(a) == loose_root(b) and line_dedup.similar(a, b, percent):
+            if ((int(classes[a]) ^ int(classes[b])) & (1 << 64) - 1).bit_count() <= 3 and line_dedup.similar(a, b, percent):
                 up[root(a)] = root(b)
     keep = {}
     for h in names:
@@ -254,6 +240,17 @@ def test_line_dedup_equals_brute_force(spark, options):
     assert sorted(((str(r.row.doc_id), r.row.text, r.n_removed) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_simhash_counts_bits_of_long_lines():
+    pick = random.Random(1)
+    for n in (1, 5, 62, 63, 64, 255, 256, 1300):
+        words = [("w" * pick.randrange(1, 9) + str(pick.randrange(9))).encode() for _ in range(n)]
+        weights = np.array([line_dedup.SimHasher.weight(w) for w in words])
+        hashes = [line_dedup.xxhash.xxh3_64_intdigest(w, seed=7).to_bytes(8, "little") for w in words]
+        bits = (np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1) * weights[:, None]).sum(axis=0)
+        want = np.packbits(2 * bits > weights.sum()).view(np.int64)[0]
+        assert line_dedup.SimHasher().hashes([b"other", b" ".join(words), b"x y"])[1] == want
+
+
 def test_line_dedup_keeps_clean_and_short_lines(spark):
     rows = [(1, "Thing.\nthe first line of some length here"), (2, "Thing.\na second line that differs from others"), (3, "Thing.\nThe FIRST line, of some length here!"), (4, None)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
