@@ -9,6 +9,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +26,18 @@ from pyspark.sql.types import StructField, StructType
 _own_dir: dict[str, str] = {}
 
 
+@contextmanager
+def without_collection():
+    """Reference counts suffice where many small objects are made and none in cycles; the collector would scan them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+        folder = tempfile.mkdtemp(prefix="glyphmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir[app] = f"file://{folder}"
     return _own_dir[app]
 
 
@@ -168,6 +185,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each id has one link up, to an id that has none: then that is its component."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    between = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return not several.unionByName(between).take(1)
+
+
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a long, b long) -> (id, component), the component being its smallest id.
 
@@ -178,15 +202,12 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = save(pairs, f"{tag}-edges")
-    mark = None
     for _ in range(max_rounds):
+        if _is_stars(now):
+            break
         new = save(_star(_star(now, True), False), f"{tag}-edges")
         drop_saved(now)
         now = new
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
