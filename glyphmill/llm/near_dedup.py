@@ -62,7 +62,7 @@ class Shingler:
         if not ws:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(ws).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -110,6 +110,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 digests.append(_digest(x) if x.size else None)
                 sigs.append(signature(x).tobytes() if x.size else None)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+        s.known.clear()  # workers live on for other operators' tasks
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sig binary")
 
@@ -123,6 +124,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [s.shingles(t) for t in text_bytes(rows.column(1))]
             cols = [pa.array([f(x) for x in sets], pa.binary()) for f in (_digest, lambda x: signature(x).tobytes(), np.ndarray.tobytes)]
             yield pa.RecordBatch.from_arrays([rows.column(0), *cols], names=["id", "digest", "sig", "shingles"])
+        s.known.clear()
 
     return texts.select("id", "text").mapInArrow(run, "id bigint, digest binary, sig binary, shingles binary")
 
