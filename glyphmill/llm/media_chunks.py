@@ -150,7 +150,9 @@ def store_chunks(docs: DataFrame, dictionary: bytes, existing: DataFrame | None
     name = f"glyphmill_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with_cleanup(spark, lambda: new.dropDuplicates(["digest"]).write.format("parquet").bucketBy(buckets, "digest").saveAsTable(name))
-    return spark.table(name)
+    out = spark.table(name)
+    out._table = name
+    return out
 
 
 
@@ -225,5 +227,6 @@ def media_features(docs: DataFrame) -> DataFrame:
     made = save(recipes(docs), "media-recipes")
     store = store_chunks(docs, dictionary)
     back = save(features(made, store, dictionary), "media-features")
+    docs.sparkSession.sql(f"DROP TABLE {store._table}")  # this query keeps what it has read back, not the store
     out = made.select("doc_id", "n_bytes", "recipe_id").join(back, "recipe_id")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
