@@ -18,20 +18,20 @@ least one document; an empty table gives no file rows and an empty result; only
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import save, slices
+from glyphmill.llm.common import save, slices, without_collection
 
 SHARD_TOKENS = 1 << 18
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 SHARD_SCHEMA = "part int, shard int, first bigint, n_docs int, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, bits int, planes binary"
 
 
@@ -48,9 +48,9 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = np.empty((bits, (ids.size + 7) // 8), np.uint8)
         for level in range(bits):
-            one = ((x >> np.array(bits - 1 - level, x.dtype)) & np.array(1, x.dtype)).astype(bool)
+            one = (x & x.dtype.type(1 << (bits - 1 - level))) != 0
             planes[level] = np.packbits(one)
-            x = np.concatenate([x[~one], x[one]])
+            x = np.concatenate([x.take(np.flatnonzero(~one)), x.take(np.flatnonzero(one))])
         return cls(ids.size, planes)
 
     def to_bytes(self) -> bytes:
@@ -71,8 +71,8 @@ class WaveletMatrix:
             one = self.plane(level)
             zeros = self.n - int(np.count_nonzero(one))
             up = np.empty_like(x)
-            up[~one] = x[:zeros]
-            up[one] = x[zeros:] | np.array(1 << (bits - 1 - level), x.dtype)
+            up[np.flatnonzero(~one)] = x[:zeros]
+            up[np.flatnonzero(one)] = x[zeros:] | x.dtype.type(1 << (bits - 1 - level))
             x = up
         return x.astype(np.uint32)
 
@@ -131,33 +131,46 @@ class WordEncoder:
     normaliser works on each side of it alone, so ids of words, joined, are the
     ids of the text. Texts of Latin-1 characters are put in lower case first, and
     where they have no apostrophe and points and commas stand only behind letters and
-    digits, those are words of their own. New words of letters are encoded as
-    one text and parted where a token ends a word. Tests compare all this with whole-text encoding.
+    digits, those are words of their own. New words of such letters need no
+    normaliser; they are encoded as one text and parted where a token ends a
+    word. Tests compare all this with whole-text encoding.
     """
 
+    #: a letter or digit, a point or comma, white space that is cut at, an apostrophe, any other
+    kinds = bytes(97 if chr(c).isalnum() else 112 if c in (44, 46) else 115 if c in (10, 32) else 113 if c == 39 else 111 for c in range(256))
+
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.encode_words = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.fast = "encode_batch_fast" if hasattr(self.tok, "encode_batch_fast") else "encode_batch"
         self.end = array("I", [end_id]).tobytes()
-        self.odd = re.compile(r"[^0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][.,]|^[.,]|[.,][^ \n.,]|'|[^\x00-\xff]")
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\n": self.end}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def split(self, text: str) -> list[str]:
-        if not self.odd.search(text):
-            text = text.lower().replace(".", " . ").replace(",", " , ")
-        return text.replace("\n", " ").split(" ")
+    def prepare(self, text: str) -> str:
+        """Words with single characters between them to cut at, and the end as a word of its own (a line feed, which no other word can be)."""
+        try:
+            kinds = text.encode("latin-1").translate(self.kinds)
+        except UnicodeEncodeError:
+            kinds = b"q"
+        if b"q" not in kinds:
+            text = text.lower()
+            if not (kinds[:1] == b"p" or any(x in kinds for x in (b"op", b"sp", b"pp", b"pa", b"po"))):
+                text = text.replace(".", " . ").replace(",", " , ")
+        return text.replace("\n", " ") + " \n"
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha() and max(w) <= "\xff"]
+        plain = [w for w in new if w.isalpha() and w.islower() and max(w) <= "\xff"]
         if plain:
-            ids = np.array(self.encode_words([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(getattr(self.lean, self.fast)([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(plain):
                 raise ValueError("a word of letters didn't end with one word-ending token")
@@ -165,18 +178,29 @@ class WordEncoder:
             for w, b in zip(plain, (4 * ends).tolist()):
                 self.words[w] = data[a:b]
                 a = b
-        rest = [w for w in new if w not in self.words]
-        for w, e in zip(rest, self.encode_words(rest, add_special_tokens=False)):
+        rest = [w for w in new if w not in self.words] if len(plain) < len(new) else []
+        for w, e in zip(rest, getattr(self.tok, self.fast)(rest, add_special_tokens=False)):
             self.words[w] = array("I", e.ids).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with the end id."""
+    @without_collection()
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, with the end id: words are coded in Arrow, and their ids gathered."""
         if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        split = [self.split(t) for t in texts]
-        self._learn(list(set().union(*split).difference(self.words)))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+            self.words = {"\n": self.end}
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([self.prepare(t) for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        self._learn([w for w in unique if w not in self.words])
+        found = [self.words[w] for w in unique]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        count, first = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(count)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(first - (ends - count), count)]
+        cuts = ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1]
+        return np.split(ids, cuts[:-1])
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -188,13 +212,13 @@ def _encoder(path: str, end_id: int) -> WordEncoder:
     return _encoders[path, end_id]
 
 
-def _shard(part: int, number: int, first: int, docs: list[int | None], ids: list[bytes]) -> dict:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def _shard(part: int, number: int, first: int, docs: list[int | None], ids: list[np.ndarray]) -> dict:
+    flat = np.concatenate(ids)
     matrix = WaveletMatrix.build(flat)
     return {
         "part": part, "shard": number, "first": first, "n_docs": len(docs), "n_tokens": flat.size,
         "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "null_ids": bytes(d is None for d in docs),
-        "lengths": np.array([len(x) // 4 for x in ids], "<u4").tobytes(), "bits": len(matrix.planes), "planes": matrix.to_bytes(),
+        "lengths": np.array([len(x) for x in ids], "<u4").tobytes(), "bits": len(matrix.planes), "planes": matrix.to_bytes(),
     }
 
 
@@ -207,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int
         part, enc = TaskContext.get().partitionId(), _encoder(path, end_id)
         number, first, size = 0, 0, 0
         doc_ids: list[int | None] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, first, size
@@ -217,13 +241,13 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("lengths", pa.binary()), ("bits", pa.int32()), ("planes", pa.binary())])
-        for rows in slices(batches):
+        for rows in slices(batches, 2048):
             keys = rows.column(0).to_pylist()
             for key, one in zip(keys, enc.encode_batch([t or "" for t in rows.column(1).to_pylist()])):
-                if ids and size + len(one) // 4 > shard_tokens:
+                if ids and size + len(one) > shard_tokens:
                     yield flush()
                 doc_ids.append(key), ids.append(one)
-                size += len(one) // 4
+                size += len(one)
         if ids:
             yield flush()
 
