@@ -12,8 +12,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+BATCH_DEFAULT = "67108864b"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the cluster's file server, once per application."""
+    """Hand the package to the cluster's file server, once per application.
+
+    Batches to Python are bounded by bytes as well as by rows, unless the session has a bound of its own: rows of long texts else
+    make batches of any size.
+    """
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
