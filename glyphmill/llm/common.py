@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -112,11 +113,21 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def release_memory() -> None:
+    """Hand memory that is free back to the system: workers live on, and share an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that Python objects of few rows live at once."""
+    """Small slices of Arrow batches, so that Python objects of few rows live at once; free memory goes back when they end."""
     for batch in batches:
         for start in range(0, batch.num_rows, max_rows):
             yield batch.slice(start, max_rows)
+    release_memory()
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], key: str, chunk: int = 4096) -> Iterator[pa.Table]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import components, drop_saved, group_ids, key_groups, save, slices, spanning, text_bytes
+from glyphmill.llm.common import components, drop_saved, group_ids, key_groups, release_memory, save, slices, spanning, text_bytes
 
 COORDINATES = 64
 SEED = 20240229
@@ -111,6 +111,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(x).tobytes() if x.size else None)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
         s.known.clear()  # workers live on for other operators' tasks
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sig binary")
 
