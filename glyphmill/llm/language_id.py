@@ -198,7 +198,7 @@ def train(docs: DataFrame, sample_rows: int = 200, clip_chars: int = 1500, train
     if not counts:
         return Model({}, train_symbols)
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1 << 30, (1 << 30) * sample_rows // n)))])
-    rows = labelled.where(F.col("h") < share[F.col("lang")]).select("lang", F.substring("text", 1, clip_chars).alias("t"), "h").collect()
+    rows = labelled.where(F.col("h") < share[F.col("lang")]).select("lang", F.substring("text", 1, clip_chars).alias("t"), "h").dropDuplicates(["lang", "h"]).collect()
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
         texts[r["lang"]].append(r["t"])
