@@ -310,3 +310,14 @@ def test_searches(spark):
     assert [r.cp for r in search.element_pool(rows, "(").collect()] == []
     table = spark.createDataFrame([("w", "abc", "a", ["x", "y"]), ("v", "bcd", "bc", ["x", "z"])], "word string, full string, short string, seq array<string>")
     assert [r.word for r in search.code_rows(table, full="^a").collect()] == ["w"] and [r.word for r in search.code_rows(table, positions={1: "z"}, short_length=2).collect()] == ["v"]
+
+
+def test_compound_analyzers(spark):
+    from glyphmill.queries.domain import compound_roots
+
+    got = {(r.analyzer, r.compound): r.roots for r in compound_roots(spark, "").collect()}
+    assert [got["默认", c] for c in ("row", "woven", "twin", "deep", "lost")] == ["a1 a2 c1 c2 c3", "a1 c1 c2 c3 a2", "twin", "twin c1 c2 c3", "b1 c1 c2 c3"]
+    assert [got["真码", c] for c in ("open", "lost")] == ["b1 a1 a2", "lost"]
+    assert [got["首右", c] for c in ("row", "woven", "deep", "lost")] == ["a1 c1", "a1 a2", "twin c3", "b1 c3"]
+    assert [got["二笔", c] for c in ("row", "deep")] == ["a1 c1 c2 c3", "twin c1 c2 c3"]
+    assert got["星空键道", "lost"] == "lost" and got["张码", "open"] == "b1 a1 a2"
