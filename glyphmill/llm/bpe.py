@@ -16,19 +16,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import slices
+from glyphmill.llm.common import release_memory, slices, without_collection
 
 NONE = np.int64(1 << 40)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LONG_PIECE = 128
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -100,9 +103,10 @@ class BytePairEncoder:
             self.vocab[r] = token
         self.decimal = [str(i) for i in range(self.pairs.pad)]
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # the same by the word behind a space, or behind a NUL at the start of a text
         # Where a single space stands between two other characters, the pattern always starts anew.
         self.starts_anew = regex.compile(r"(?<=\S)(?= \S)")
-        self.odd_space = regex.compile(r"\s \s| \s|\s ")
+        self.other_space = re.compile("[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.by_space = all(pattern.count(x) for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"))
 
     def merge_rows(self, rows: list[bytes]) -> list[list[int]]:
@@ -182,26 +186,44 @@ class BytePairEncoder:
                 out.update(zip(part, self.merge_rows(part)))
         return out
 
-    def split(self, text: str) -> list[str]:
-        """Chunks whose pieces don't depend on what stands around them."""
-        if not self.by_space or not text:
-            return [text] if text else []
-        if self.odd_space.search(text) or text[0].isspace() or text[-1].isspace():
-            return self.starts_anew.split(text)
-        words = text.split(" ")
-        return [words[0], *map(" ".__add__, words[1:])]
+    def plain(self, text: str) -> bool:
+        """Whether all white space is line feeds and single spaces between other characters (and there is no NUL)."""
+        return bool(text) and self.by_space and text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and not self.other_space.search(text)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
-        split = [self.split(t) for t in texts]
-        new = {c for chunks in split for c in chunks}.difference(self.chunks)
-        pieces = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in new}
+    def learn(self, chunks: dict[str, str], into: dict[str, bytes]) -> None:
+        """Ids of chunks by their keys."""
+        pieces = {key: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for key, c in chunks.items()}
         known = self.encode_pieces({p for ps in pieces.values() for p in ps})
-        for c, ps in pieces.items():
-            self.chunks[c] = np.array([i for p in ps for i in known[p]], "<u4").tobytes()
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
+        for key, ps in pieces.items():
+            into[key] = array("I", [i for p in ps for i in known[p]]).tobytes()
+
+    @without_collection()
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words of plain texts are coded in Arrow, and their ids gathered; other texts are cut where the pattern starts anew."""
+        for cache in (self.chunks, self.words):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+        plain = [k for k, t in enumerate(texts) if self.plain(t)]
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        if plain:
+            split = pc.split_pattern(pa.array(["\x00" + texts[k] for k in plain], pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            unique = coded.dictionary.to_pylist()
+            self.learn({w: w[1:] if w[0] == "\x00" else " " + w for w in unique if w not in self.words}, self.words)
+            found = [self.words[w] for w in unique]
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            codes = coded.indices.to_numpy()
+            count, first = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+            ends = np.cumsum(count)
+            ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(first - (ends - count), count)]
+            cuts = ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1]
+            for k, part in zip(plain, np.split(ids, cuts[:-1])):
+                out[k] = part
+        odd = {k: self.starts_anew.split(texts[k]) if self.by_space else [texts[k]] for k in sorted(set(range(len(texts))).difference(plain)) if texts[k]}
+        self.learn({c: c for chunks in odd.values() for c in chunks if c not in self.chunks}, self.chunks)
+        for k, chunks in odd.items():
+            out[k] = np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), "<u4")
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -225,7 +247,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for rows in slices(batches):
+        for rows in slices(batches, 512):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             counts, hashes, back, ids_out = [], [], [], []
             for ids in enc.encode_batch(texts):
@@ -241,6 +263,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 cols.append(pa.array(ids_out, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        enc.chunks.clear(), enc.words.clear()  # workers live on for other operators' tasks
+        release_memory()
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     return docs.select(id_col, text_col).mapInArrow(run, schema)
