@@ -100,11 +100,16 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def fit_dictionary(docs: DataFrame) -> bytes:
-    """A compression dictionary from a bounded sample, chosen by a hash; empty where there is too little text."""
+    """A compression dictionary from a sample of about ``DICTIONARY_ROWS`` rows, chosen by a share of hashes; empty where there is too little text.
+
+    The driver sees the sample alone, whatever the number of tasks; of repeated rows one.
+    """
     import zstandard
 
-    rows = docs.where("length(text) > 0").select(F.substring("text", 1, DICTIONARY_CLIP).alias("t"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "t").limit(DICTIONARY_ROWS).collect()
-    samples = [r["t"].encode() for r in rows]
+    share = (1 << 30) * DICTIONARY_ROWS // max(1, docs.count())
+    hashed = docs.where("length(text) > 0").select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
+    rows = hashed.select(F.substring("text", 1, DICTIONARY_CLIP).alias("t"), "h").dropDuplicates(["h"]).collect()
+    samples = [r["t"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["t"]))]
     if len(samples) < 100 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return b""
     try:
