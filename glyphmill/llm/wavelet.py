@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import save, slices, without_collection
 
 SHARD_TOKENS = 1 << 18
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 SHARD_SCHEMA = "part int, shard int, first bigint, n_docs int, n_tokens bigint, doc_ids binary, null_ids binary, lengths binary, bits int, planes binary"
 
 
@@ -148,6 +148,9 @@ class WordEncoder:
         self.lean = Tokenizer.from_file(path)
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer.from_file(path)  # ASCII letters stand for their own bytes
+        self.ascii.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.fast = "encode_batch_fast" if hasattr(self.tok, "encode_batch_fast") else "encode_batch"
         self.end = array("I", [end_id]).tobytes()
         self.words: dict[str, bytes] = {"\n": self.end}
@@ -168,20 +171,26 @@ class WordEncoder:
         return text.replace("\n", " ") + " \n"
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha() and w.islower() and max(w) <= "\xff"]
-        if plain:
-            ids = np.array(getattr(self.lean, self.fast)([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(plain):
-                raise ValueError("a word of letters didn't end with one word-ending token")
-            data, a = ids.tobytes(), 0
-            for w, b in zip(plain, (4 * ends).tolist()):
-                self.words[w] = data[a:b]
-                a = b
-        rest = [w for w in new if w not in self.words] if len(plain) < len(new) else []
+        letters = [w for w in new if w.isalpha() and w.islower()]
+        self._learn_letters([w for w in letters if w.isascii()], self.ascii)
+        self._learn_letters([w for w in letters if not w.isascii() and max(w) <= "\xff"], self.lean)
+        rest = [w for w in new if w not in self.words]
         for w, e in zip(rest, getattr(self.tok, self.fast)(rest, add_special_tokens=False)):
             self.words[w] = array("I", e.ids).tobytes()
 
+    def _learn_letters(self, plain: list[str], tokenizer) -> None:
+        """Words of letters as one text; each ends with the one token that ends a word."""
+        if not plain:
+            return
+        ids = np.array(getattr(tokenizer, self.fast)([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("a word of letters didn't end with one word-ending token")
+        data, a = ids.tobytes(), 0
+        for w, b in zip(plain, (4 * ends).tolist()):
+            self.words[w] = data[a:b]
+            a = b
+
     @without_collection()
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id: words are coded in Arrow, and their ids gathered."""
@@ -203,6 +212,18 @@ class WordEncoder:
         return np.split(ids, cuts[:-1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 12 << 20) -> Iterator[pa.Table]:
+    """Batches put together up to some megabytes: the more text, the fewer words are looked up again."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -241,7 +262,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("lengths", pa.binary()), ("bits", pa.int32()), ("planes", pa.binary())])
-        for rows in slices(batches, 2048):
+        for rows in gathered(batches):
             keys = rows.column(0).to_pylist()
             for key, one in zip(keys, enc.encode_batch([t or "" for t in rows.column(1).to_pylist()])):
                 if ids and size + len(one) > shard_tokens:
