@@ -256,3 +256,48 @@ def test_line_dedup_keeps_clean_and_short_lines(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 4: None}
     assert line_dedup.dedup_report(documents(spark, rows).limit(0)).count() == 0
+
+
+def one_letter_changed(pick, line):
+    at = pick.choice([k for k, c in enumerate(line) if c != " "])
+    return line[:at] + pick.choice("bcdfgh".replace(line[at], "")) + line[at + 1 :]
+
+
+@pytest.mark.parametrize("options", [{}, {"group_lines": 3}])
+def test_line_dedup_finds_lines_alike_in_edits(spark, options):
+    """Against brute force on edit similarity alone: every pair with a letter or a word changed is found, and no other."""
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choice("aeioulmnrst") for _ in range(pick.randrange(3, 9)))
+    lines = [" ".join(word() for _ in range(n)) for n in (5, 6, 8, 12, 20, 32, 60, 120) for _ in range(10)]
+    near = [one_letter_changed(pick, x) for x in lines]
+    rows = [(k, x) for k, x in enumerate([*lines, *near])]
+    up = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if line_dedup.similar(a, b, 90):
+                up[i] = min(up[i], up[j])
+    want = {k for k, u in enumerate(up) if u != k}
+    gone = line_dedup.removals(documents(spark, rows), shingles=line_dedup.SHINGLES, **options).collect()
+    got = {r.doc for r in gone}
+    assert len(want) > 70 and got <= want
+    assert len(got) >= 0.97 * len(want)
+    assert sum(r.n_removed for r in line_dedup.dedup_report(documents(spark, rows)).collect()) == len(got) if not options else True
+
+
+def test_shingle_keys_do_not_depend_on_other_lines():
+    pick = random.Random(3)
+    lines = [bytes(pick.choice(b"abc de") for _ in range(n)) for n in (1, 3, 4, 9, 15, 16, 23, 24, 300)]
+    together = line_dedup.shingle_keys(lines, 5, 90)
+    for line, keys in zip(lines, together):
+        assert list(keys) == list(line_dedup.shingle_keys([line], 5, 90)[0])
+    longer = b"x" * 24
+    assert set(line_dedup.shingle_keys([longer[:22]], 5, 90)[0]) & set(line_dedup.shingle_keys([longer], 5, 90)[0])
+
+
+def test_trigram_counts_bound_edits():
+    pick = random.Random(5)
+    for _ in range(300):
+        a = "".join(pick.choice("abc") for _ in range(pick.randrange(30)))
+        b = "".join(c for c in a if pick.random() < 0.8) + "".join(pick.choice("abc") for _ in range(pick.randrange(6)))
+        x, y = line_dedup.trigram_counts([a, b])
+        assert np.abs(x - y).sum() <= 6 * plain_distance(a, b)
