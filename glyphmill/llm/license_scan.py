@@ -97,7 +97,8 @@ TEXTS = [
     ("proprietary", "proprietary and confidential", "confidential"),
 ]
 
-ANCHORS = "licen[cs]e|public domain|hereby granted|redistribution and use|free software|unencumbered|rights reserved|confidential|with or without fee"
+#: What every rule's matches contain: documents without any of it match no rule.
+ANCHORS = "licen[cs]e|(?:released|distributed|available|provided|published) under|under (?:the )?terms of|public domain|hereby granted|redistribution and use|free software|unencumbered|rights reserved|confidential|with or without fee"
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

@@ -114,6 +114,20 @@ def test_license_scan(spark):
     assert 200 < len(license_scan.rules()) and all(re.compile(p) for *_, p in license_scan.rules())
 
 
+def test_license_gate_is_implied_by_the_rules(spark):
+    """Each form and text alone passes the gate, also without the word license."""
+    short = {9: "spdx license identifier {}", 8: "licensed under {}", 7: "distributed under {}", 6: "under terms of {}", 5: "{} license v 2", 4: "{} license"}
+    assert set(short) == {p for p, _ in license_scan.FORMS}
+    for starts in ("released", "distributed", "available", "provided", "published"):
+        assert re.search(license_scan.ANCHORS, f" {starts} under gpl ")
+    assert all(re.search(license_scan.ANCHORS, f" {x.format('gpl')} ") for x in short.values())
+    for _, pattern, _ in license_scan.TEXTS:
+        assert re.search(license_scan.ANCHORS, pattern.replace("(?:in)?", "in").replace("(?:released|placed|dedicated)", "placed"))
+    rows = [(1, "It is distributed under the GPL."), (2, "Use under the terms of the GNU GPL version 2 only"), (3, "distributed under the bridge")]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert got == {1: ("gpl", ""), 2: ("gpl", ""), 3: ("", "")}
+
+
 def test_automaton_parses_greedily():
     pick = random.Random(3)
     for _ in range(60):
