@@ -56,6 +56,18 @@ def test_broken_markup_never_fails():
     assert html_wrappers.extract(deep, html_wrappers.infer([deep])).count("t") == 5000
 
 
+def test_skipped_elements_without_an_end_lose_nothing_else():
+    for page, want in (
+        ("<article><p>a</p><embed src=x><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><datalist id=d><option value=1>x<option value=2>y</datalist><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><select><option>x<option>y</select><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><canvas>c</article><p>b</p>", "a"),
+        ("<article><p>a</p><script>var b = '<p>c</p>'", "a"),
+        ("<article><p>a</p><style>p {}", "a"),
+    ):
+        assert html_wrappers.extract(page, None) == want
+
+
 def test_pages_give_back_their_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     same = total = 0
