@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.plans.checkpoint import cut
+
 
 # Coefficients of the rational approximation of the error function (Abramowitz and Stegun 7.1.26).
 ERF_P = 0.3275911
@@ -22,20 +24,27 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
-def robust_mean(samples: DataFrame, key: list[str], value: str, rounds: int = 8) -> DataFrame:
+def robust_mean(samples: DataFrame, key: list[str], value: str, rounds: int | None = None) -> DataFrame:
     """(key, value, std, n, raw): mean of each group without outliers by Chauvenet's criterion, its standard error and sizes.
 
     A value goes where the share of normal values as far from the mean times the size is below a half; rounds repeat until
-    nothing goes, ``rounds`` at most. Equal samples keep all. Each round is one aggregation joined back: groups aren't
-    gathered, so a group of any size is spread over tasks.
+    nothing goes, or ``rounds`` times where given. Without a limit each round is written.
+    Equal samples keep all. Each round is one aggregation joined back: groups aren't gathered, so a group of any size is spread over tasks.
     """
     rows = samples.select(*key, F.col(value).cast("double").alias("x"))
     raw = rows.groupBy(*key).agg(F.count("*").alias("raw"))
-    for _ in range(rounds):
+    left, done = (rows.count(), 0) if rounds is None else (None, 0)
+    while rounds is None or done < rounds:
         stats = rows.groupBy(*key).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n"))
         joined = rows.join(stats, key)
         far = erf(F.abs(F.col("x") - F.col("m")) / F.col("s") / math.sqrt(2)) < 1 - 1 / (2 * F.col("n").cast("double"))
         rows = joined.where(F.col("s").isNull() | (F.col("s") == 0) | far).select(*key, "x")
+        done += 1
+        if rounds is None:
+            rows = cut(rows)
+            before, left = left, rows.count()
+            if left == before:
+                break
     out = rows.groupBy(*key).agg(F.avg("x").alias("value"), F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("x") / F.sqrt(F.count("*").cast("double"))).alias("std"), F.count("*").alias("n"))
     return out.join(raw, key)
 

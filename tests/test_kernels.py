@@ -321,3 +321,23 @@ def test_compound_analyzers(spark):
     assert [got["首右", c] for c in ("row", "woven", "deep", "lost")] == ["a1 c1", "a1 a2", "twin c3", "b1 c3"]
     assert [got["二笔", c] for c in ("row", "deep")] == ["a1 c1 c2 c3", "twin c1 c2 c3"]
     assert got["星空键道", "lost"] == "lost" and got["张码", "open"] == "b1 a1 a2"
+
+
+def test_robust_mean_repeats_until_nothing_goes(spark):
+    """Each round loses one value of a row of ever farther ones: more rounds than any fixed few."""
+    import math
+
+    from glyphmill.operators import timing
+
+    values = [float(k % 7) for k in range(200)] + [10.0 * 4**k for k in range(1, 40)]
+    left, rounds = list(values), 0
+    while True:
+        n, m = len(left), sum(left) / len(left)
+        s = math.sqrt(sum((x - m) ** 2 for x in left) / (n - 1))
+        stay = [x for x in left if s == 0 or math.erf(abs(x - m) / s / math.sqrt(2)) < 1 - 1 / (2 * n)]
+        if len(stay) == n:
+            break
+        left, rounds = stay, rounds + 1
+    assert rounds > 8
+    got = timing.robust_mean(spark.createDataFrame([("a", x) for x in values], "k string, v double"), ["k"], "v").first()
+    assert (got.n, got.raw) == (len(left), len(values)) and abs(got.value - sum(left) / len(left)) < 1e-9
