@@ -234,7 +234,7 @@ def test_recall_of_pairs_alike_in_edits():
         for k, key in zip(who.tolist(), keys.tolist()):
             sets[k].add(key)
         sim, size = line_dedup.simhashes(made.bytes, made.start, made.stop), made.sizes()
-        fit = line_dedup.fits(size[::2], size[1::2], sim[::2], sim[1::2], 90, line_dedup.RADIUS)
+        fit = line_dedup.fits(size[::2], size[1::2], sim[::2], sim[1::2], 90)
         met = [bool(sets[2 * k] & sets[2 * k + 1]) and bool(fit[k]) for k in range(len(pairs))]
         assert len(pairs) > 200 and sum(met) >= least * len(met), (name, sum(met) / len(met))
 
@@ -270,11 +270,11 @@ def brute_lines(rows, percent=90):
 @pytest.mark.parametrize("options", [{}, {"group_lines": 4}, {"group_bytes": 900}])
 def test_line_dedup_equals_brute_force(spark, options):
     pick = random.Random(8)
-    lines = some_lines(pick, [pick.choice([1, 2, 8, 25]) for _ in range(24)]) + ["世界の人々は皆、同じ空の下に生きている", "}", "Yes."]
+    lines = some_lines(pick, [pick.choice([1, 2, 16, 30]) for _ in range(24)]) + ["世界の人々は皆、同じ空の下に生きている", "}", "Yes."]
 
     def vary(line):
         x = pick.random()
-        line = line + pick.choice(["!", " ", "..."]) if x < 0.3 else edited(pick, line, 1) if x < 0.5 else line
+        line = line + pick.choice(["!", " ", "..."]) if x < 0.3 else edited(pick, line, 1) if x < 0.5 and len(line) > 60 else line
         return line.upper() if pick.random() < 0.2 else line
 
     rows = [(k, "\n".join(vary(pick.choice(lines)) for _ in range(pick.randrange(6)))) for k in range(45)]
