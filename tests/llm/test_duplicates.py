@@ -301,6 +301,6 @@ def test_line_dedup_cases(spark):
 
 def test_frequent_lines_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT_SHARE", 4)
-    rows = [(k, "the same line in all of them\n" + "".join(random.Random(k).choice("abcdefgh") for _ in range(40))) for k in range(30)]
+    rows = [(k, "the same line in all of them\n" + " ".join(random.Random(k).choices(["ab", "cde", "fghi", "jk", "lmnop", "qrs", "tuv"], k=14))) for k in range(30)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_report(documents(spark, rows)).collect()}
     assert got == {k: int(k > 0) for k in range(30)}
