@@ -8,8 +8,8 @@ sample (``DICTIONARY_ROWS`` clipped texts) and is part of the store. A document
 Reading back joins recipes to the store, and payloads of several chunks are
 put together in order; every chunk is verified against its digest and the whole against its length.
 
-The stored form of a document is its recipe followed by its chunks;
-``media_bytes`` and ``media_sha256`` are its size and hash.
+The stored form of a document is its recipe followed by its chunks as they lie in the store, compressed;
+``media_bytes`` and ``media_sha256`` are its size and hash. The store stays: its table is named by the result's ``_table``.
 
 Cases: null and empty texts are a payload of 192 spaces; equal texts share a recipe,
 are put together once, and get equal values; repeated rows give a row each; very long texts are chunked whole; an
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import key_groups, save, slices, text_bytes
 
 UNIT = 192
-LEAST, SPREAD_BITS, MOST = 4096, 12, 32768
+#: Least bytes of a chunk, clear bits of a cut (2**8 bytes more on average, some 512 in all), most bytes.
+LEAST, SPREAD_BITS, MOST = 256, 8, 4096
+#: A chunk in more than this share of all places is joined by broadcast: there are no more than its reciprocal of them.
+HOT_SHARE = 1000
 DICTIONARY_ROWS, DICTIONARY_CLIP, DICTIONARY_BYTES = 2000, 6000, 112_640
 GEAR = np.random.default_rng(192).integers(0, 1 << 32, 256, dtype=np.uint32)
 DIGEST = 16
@@ -118,7 +121,7 @@ def fit_dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
-def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 9) -> DataFrame:
+def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 3) -> DataFrame:
     """(digest, packed): the compressed chunks of all documents, without repeats within a stretch of a task."""
     held = docs.sparkSession.sparkContext.broadcast(dictionary)
 
@@ -168,7 +171,12 @@ def features(made: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
     entry = f"transform(sequence(0, cast(length(recipe) / {ENTRY} as int) - 1), i -> substring(recipe, i * {ENTRY} + 1, {DIGEST}))"
     distinct = made.groupBy("recipe_id").agg(F.max("recipe").alias("recipe"))
     parts = distinct.select("recipe_id", "recipe", F.posexplode(F.expr(entry)).alias("seq", "digest"))
-    found = parts.join(store, "digest", "left").select("recipe_id", "recipe", "seq", "packed")
+    counts = parts.groupBy("digest").agg(F.count("*").alias("n"))
+    total = made.agg(F.sum(F.octet_length("recipe") / ENTRY)).first()[0] or 0
+    often = save(counts.where(F.col("n") > total / HOT_SHARE).select("digest"), "media-often")
+    hot = F.broadcast(store.join(F.broadcast(often), "digest"))
+    rest = parts.join(F.broadcast(often), "digest", "left_anti").join(store, "digest", "left")
+    found = parts.join(hot, "digest").select("recipe_id", "recipe", "seq", "packed").unionByName(rest.select("recipe_id", "recipe", "seq", "packed"))
     kind = "recipe_id binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def measure(groups: Iterator[tuple[bytes, bytes, list[bytes]]]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +185,7 @@ def features(made: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held.value)).decompress
         out: list[dict] = []
         for key, listed, packed in groups:
-            out.append({"recipe_id": key, **one(listed, [unpack(p) for p in packed])})
+            out.append({"recipe_id": key, **one(listed, packed, unpack)})
             if len(out) >= 256:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
                 out = []
@@ -200,20 +208,20 @@ def features(made: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
     return lone.unionByName(joint)
 
 
-def one(listed: bytes, chunks: list[bytes]) -> dict:
-    """Verify the chunks of a recipe and describe the payload that they make."""
+def one(listed: bytes, packed: list[bytes], unpack) -> dict:
+    """Verify the chunks of a recipe and describe the payload that they make, and its stored form."""
+    chunks = [unpack(p) for p in packed]
     lengths = [int.from_bytes(listed[k + DIGEST : k + ENTRY], "little") for k in range(0, len(listed), ENTRY)]
     for k, (c, n) in enumerate(zip(chunks, lengths, strict=True)):
         if len(c) != n or digest(c) != listed[k * ENTRY : k * ENTRY + DIGEST]:
             raise ValueError("a stored chunk doesn't match its recipe")
     data = b"".join(chunks)
     samples = np.frombuffer(data, np.uint8)
-    media = hashlib.sha256(listed)
-    media.update(data)
+    stored = listed + b"".join(packed)
     counts = np.bincount(samples >> 5, minlength=8)
     return {
         "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-16:]),
-        "media_bytes": len(listed) + len(data), "media_sha256": media.hexdigest(),
+        "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(),
         "feature": f"chunks={len(chunks)};mean={samples.mean():.3f};bands=" + ",".join(map(str, counts.tolist())),
     }
 
@@ -227,11 +235,15 @@ def with_cleanup(spark, action):
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Store all payloads and describe each document from what is read back."""
+    """Store all payloads and describe each document from what is read back.
+
+    Beside the rows, the result carries the store: ``_table``, ``_recipes`` (doc_id, recipe) and ``_dictionary``.
+    """
     dictionary = fit_dictionary(docs)
     made = save(recipes(docs), "media-recipes")
     store = store_chunks(docs, dictionary)
     back = save(features(made, store, dictionary), "media-features")
-    docs.sparkSession.sql(f"DROP TABLE {store._table}")  # this query keeps what it has read back, not the store
     out = made.select("doc_id", "n_bytes", "recipe_id").join(back, "recipe_id")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out._table, out._recipes, out._dictionary = store._table, made, dictionary
+    return out

@@ -238,7 +238,16 @@ def test_media_round_trip(spark):
     pick = random.Random(7)
     long = "".join(pick.choice("abcdefgh ijklé\n") for _ in range(90_000))
     rows = list(enumerate(ODD)) + [(50, long), (51, long), (52, long[:40_000] + "!" + long[40_000:]), (None, "x"), (4, "a")]
-    got = media_chunks.media_features(documents(spark, rows).withColumnRenamed("source", "n_bytes")).collect()
+    made = media_chunks.media_features(documents(spark, rows).withColumnRenamed("source", "n_bytes"))
+    got = made.collect()
+    packed = {r.digest: bytes(r.packed) for r in spark.table(made._table).collect()}
+    assert all(packed[d] and len(packed) > 200 for d in packed)
+    stored = {}
+    for r in made._recipes.collect():
+        parts = [bytes(r.recipe[k : k + media_chunks.DIGEST]) for k in range(0, len(r.recipe), media_chunks.ENTRY)]
+        form = bytes(r.recipe) + b"".join(packed[d] for d in parts)
+        stored[str(r.doc_id)] = len(form), hashlib.sha256(form).hexdigest()
+    assert {str(r.doc_id): (r.media_bytes, r.media_sha256) for r in got} == stored
     want = []
     for key, text in rows:
         data = (text or "").encode()
