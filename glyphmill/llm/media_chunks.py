@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import key_groups, save, slices, text_bytes
 
 UNIT = 192
-#: Least bytes of a chunk, clear bits of a cut (2**8 bytes more on average, some 512 in all), most bytes.
-LEAST, SPREAD_BITS, MOST = 256, 8, 4096
+#: Least bytes of a chunk, clear bits of a cut (2**9 bytes more on average, some 700 in all), most bytes.
+LEAST, SPREAD_BITS, MOST = 192, 9, 4096
 #: A chunk in more than this share of all places is joined by broadcast: there are no more than its reciprocal of them.
 HOT_SHARE = 1000
 DICTIONARY_ROWS, DICTIONARY_CLIP, DICTIONARY_BYTES = 2000, 6000, 112_640
@@ -121,7 +121,7 @@ def fit_dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
-def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 3) -> DataFrame:
+def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 9) -> DataFrame:
     """(digest, packed): the compressed chunks of all documents, without repeats within a stretch of a task."""
     held = docs.sparkSession.sparkContext.broadcast(dictionary)
 
