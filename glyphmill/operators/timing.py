@@ -24,29 +24,27 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-x * x))
 
 
-def robust_mean(samples: DataFrame, key: list[str], value: str, rounds: int | None = None) -> DataFrame:
+def robust_mean(samples: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, value, std, n, raw): mean of each group without outliers by Chauvenet's criterion, its standard error and sizes.
 
-    A value goes where the share of normal values as far from the mean times the size is below a half; rounds repeat until
-    nothing goes, or ``rounds`` times where given. Without a limit each round is written.
-    Equal samples keep all. Each round is one aggregation joined back: groups aren't gathered, so a group of any size is spread over tasks.
+    A value goes where the share of normal values as far from the mean times the size is a half or less; rounds repeat until
+    nothing goes in any group. Equal samples keep all. What stays of a group is an interval, so a round is two
+    aggregations of the samples within it, and its ends are all that is written: groups of any size are spread over tasks.
     """
-    rows = samples.select(*key, F.col(value).cast("double").alias("x"))
-    raw = rows.groupBy(*key).agg(F.count("*").alias("raw"))
-    left, done = (rows.count(), 0) if rounds is None else (None, 0)
-    while rounds is None or done < rounds:
-        stats = rows.groupBy(*key).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n"))
-        joined = rows.join(stats, key)
-        far = erf(F.abs(F.col("x") - F.col("m")) / F.col("s") / math.sqrt(2)) < 1 - 1 / (2 * F.col("n").cast("double"))
-        rows = joined.where(F.col("s").isNull() | (F.col("s") == 0) | far).select(*key, "x")
-        done += 1
-        if rounds is None:
-            rows = cut(rows)
-            before, left = left, rows.count()
-            if left == before:
-                break
-    out = rows.groupBy(*key).agg(F.avg("x").alias("value"), F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("x") / F.sqrt(F.count("*").cast("double"))).alias("std"), F.count("*").alias("n"))
-    return out.join(raw, key)
+    rows = samples.select(*key, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    kept = cut(rows.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("raw")))
+    inside = F.col("x").between(F.col("low"), F.col("high"))
+    while True:
+        stats = rows.join(kept, key).where(inside).groupBy(*key).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n"))
+        stats = cut(kept.join(stats, key))
+        near = erf(F.abs(F.col("x") - F.col("m")) / F.col("s") / math.sqrt(2)) < 1 - 1 / (2 * F.col("n").cast("double"))
+        left = rows.join(stats, key).where(inside & (F.col("s").isNull() | (F.col("s") == 0) | near))
+        ends = cut(left.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("raw").alias("raw"), F.count("*").alias("stay"), F.max("n").alias("n")))
+        if not ends.where("stay < n").take(1):
+            break
+        kept = ends.select(*key, "low", "high", "raw")
+    std = F.when(F.col("n") == 1, 0.0).otherwise(F.col("s") / F.sqrt(F.col("n").cast("double")))
+    return stats.select(*key, F.col("m").alias("value"), std.alias("std"), "n", "raw")
 
 
 def normalise(means: DataFrame, user: str, distance: str, cls: str) -> DataFrame:

@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where none is set (tests)."""
+    """``spark.checkpoint.dir``; a folder of our own only where none is set and all is one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder, and executors can't read each other's disks")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="glyphmill-")

@@ -296,7 +296,7 @@ def usable_schemes(spark, d):
 
 def segment_topology(spark, d):
     """Relations of straight strokes drawn from lineitem: those of one order meet pairwise."""
-    rows = parquet(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"]).where("l_orderkey % 10 = 0")
+    rows = parquet(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"])
     x, y, size = (F.col("l_partkey") % 7 * 10).cast("int"), (F.col("l_suppkey") % 7 * 10).cast("int"), (F.col("l_quantity").cast("int") % 5 + 1) * 10
     flat = F.col("l_linenumber") % 2 == 1
     drawn = rows.select(F.col("l_orderkey").alias("component"), F.col("l_linenumber").alias("stroke"), x.alias("x0"), y.alias("y0"), F.when(flat, x + size).otherwise(x).alias("x1"), F.when(flat, y).otherwise(y + size).alias("y1"), flat.alias("flat"))
@@ -305,7 +305,7 @@ def segment_topology(spark, d):
 
 def robust_mean(spark, d):
     e = parquet(spark, d, "events", ["event_type", "value"]).where("value IS NOT NULL")
-    out = timing.robust_mean(e, ["event_type"], "value", rounds=3)
+    out = timing.robust_mean(e, ["event_type"], "value")
     return out.select("event_type", F.round("value", 4).alias("value"), F.round("std", 4).alias("std"), "n", "raw")
 
 
@@ -313,7 +313,7 @@ def normalised_equivalence(spark, d):
     """Mean values of event types over each user's first type, pooled over users."""
     e = parquet(spark, d, "events", ["user_id", "event_type", "value"]).where("value IS NOT NULL")
     cls = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    m = timing.robust_mean(e.withColumn("cls", cls), ["user_id", "cls"], "value", rounds=1).withColumn("distance", F.col("cls"))
+    m = timing.robust_mean(e.withColumn("cls", cls), ["user_id", "cls"], "value").withColumn("distance", F.col("cls"))
     pooled = timing.pool(timing.normalise(m.where("value <> 0"), "user_id", "distance", "cls"), "cls", "distance")
     return timing.label(pooled, "distance", "cls").select("cls", "label", F.round("value", 3).alias("value"))
 
@@ -354,10 +354,13 @@ _ERF = "(1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284
 
 
 def _chauvenet(source: str, keys: str, name: str) -> str:
-    return f"""{name}_s AS (SELECT {keys}, avg(x) AS m, stddev_samp(x) AS s, count(*) AS n FROM {source} GROUP BY {keys}),
-    {name}_z AS (SELECT a.*, CASE WHEN s > 0 THEN abs(x - m) / s / sqrt(2.0) END AS z, n AS size FROM {source} a JOIN {name}_s USING ({keys})),
-    {name}_t AS (SELECT *, 1 / (1 + 0.3275911 * z) AS t FROM {name}_z),
-    {name} AS (SELECT {keys}, x FROM {name}_t WHERE z IS NULL OR {_ERF} < 1 - 1 / (2.0 * size))"""
+    """What stays of ``source`` when rounds repeat until nothing goes: the last round of each group."""
+    return f"""{name}_r AS (SELECT 0 AS i, * FROM {source} UNION ALL
+      SELECT i + 1, {keys}, x FROM (SELECT *, count(*) FILTER (stays) OVER (PARTITION BY {keys}) AS kept FROM (
+        SELECT *, z IS NULL OR {_ERF} < 1 - 1 / (2.0 * n) AS stays FROM (SELECT *, 1 / (1 + 0.3275911 * z) AS t FROM (
+          SELECT *, CASE WHEN s > 0 THEN abs(x - m) / s / sqrt(2.0) END AS z FROM (
+            SELECT *, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s, count(*) OVER w AS n FROM {name}_r WINDOW w AS (PARTITION BY {keys})))))) WHERE stays AND kept < n),
+    {name} AS (SELECT {keys}, x FROM {name}_r QUALIFY i = max(i) OVER (PARTITION BY {keys}))"""
 
 
 SQL = {
@@ -425,7 +428,7 @@ SQL = {
     "usable_schemes": f"""WITH {COVERS}, r AS (SELECT path, CAST(row_number() OVER (ORDER BY len(path), list_transform(path, lambda m: -CAST(bit_count(m) AS INTEGER)), path) AS INTEGER) AS place FROM cov),
         a AS (SELECT place, path, list_filter(path, lambda m: m IN (3, 6, 12)) AS asked FROM r)
         SELECT place, array_to_string(path, '+') AS cover, NOT EXISTS (SELECT 1 FROM a b WHERE b.place < a.place AND list_has_all(a.asked, b.asked)) AND place <= (SELECT coalesce(min(place), 1000) FROM a WHERE len(asked) = 0) AS usable FROM a""",
-    "segment_topology": """WITH s AS (SELECT l_orderkey AS c, l_linenumber AS k, l_linenumber % 2 = 1 AS flat, CAST(l_partkey % 7 * 10 AS INTEGER) AS x0, CAST(l_suppkey % 7 * 10 AS INTEGER) AS y0, (CAST(l_quantity AS INTEGER) % 5 + 1) * 10 AS z FROM lineitem WHERE l_orderkey % 10 = 0),
+    "segment_topology": """WITH s AS (SELECT l_orderkey AS c, l_linenumber AS k, l_linenumber % 2 = 1 AS flat, CAST(l_partkey % 7 * 10 AS INTEGER) AS x0, CAST(l_suppkey % 7 * 10 AS INTEGER) AS y0, (CAST(l_quantity AS INTEGER) % 5 + 1) * 10 AS z FROM lineitem),
         t AS (SELECT c, k, flat, x0, y0, CASE WHEN flat THEN x0 + z ELSE x0 END AS x1, CASE WHEN flat THEN y0 ELSE y0 + z END AS y1 FROM s),
         p AS (SELECT a.flat AS fa, b.flat AS fb, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM t a JOIN t b ON a.c = b.c AND b.k < a.k)
         SELECT CASE WHEN (ax0 = bx0 AND ay0 = by0) OR (ax0 = bx1 AND ay0 = by1) OR (ax1 = bx0 AND ay1 = by0) OR (ax1 = bx1 AND ay1 = by1) THEN 'touch ends'
@@ -433,9 +436,9 @@ SQL = {
             OR (fb AND ((ay0 = by0 AND ax0 > bx0 AND ax0 < bx1) OR (ay1 = by0 AND ax1 > bx0 AND ax1 < bx1))) OR (NOT fb AND ((ax0 = bx0 AND ay0 > by0 AND ay0 < by1) OR (ax1 = bx0 AND ay1 > by0 AND ay1 < by1))) THEN 'touch inside'
           WHEN fa <> fb AND ((fa AND bx0 > ax0 AND bx0 < ax1 AND ay0 > by0 AND ay0 < by1) OR (fb AND ax0 > bx0 AND ax0 < bx1 AND by0 > ay0 AND by0 < ay1)) THEN 'cross'
           WHEN fa = fb THEN 'parallel' ELSE 'perpendicular' END AS relation, count(*) AS n FROM p GROUP BY 1""",
-    "robust_mean": f"""WITH e0 AS (SELECT event_type, value AS x FROM events WHERE value IS NOT NULL), {_chauvenet("e0", "event_type", "e1")}, {_chauvenet("e1", "event_type", "e2")}, {_chauvenet("e2", "event_type", "e3")}
-        SELECT event_type, round(avg(x), 4) AS value, round(stddev_samp(x) / sqrt(count(*)), 4) AS std, count(*) AS n, max(raw) AS raw FROM e3 JOIN (SELECT event_type, count(*) AS raw FROM e0 GROUP BY 1) USING (event_type) GROUP BY 1""",
-    "normalised_equivalence": f"""WITH e0 AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS cls, value AS x FROM events WHERE value IS NOT NULL), {_chauvenet("e0", "user_id, cls", "e1")},
+    "robust_mean": f"""WITH RECURSIVE e0 AS (SELECT event_type, value AS x FROM events WHERE value IS NOT NULL), {_chauvenet("e0", "event_type", "e1")}
+        SELECT event_type, round(avg(x), 4) AS value, round(stddev_samp(x) / sqrt(count(*)), 4) AS std, count(*) AS n, max(raw) AS raw FROM e1 JOIN (SELECT event_type, count(*) AS raw FROM e0 GROUP BY 1) USING (event_type) GROUP BY 1""",
+    "normalised_equivalence": f"""WITH RECURSIVE e0 AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS cls, value AS x FROM events WHERE value IS NOT NULL), {_chauvenet("e0", "user_id, cls", "e1")},
         m AS (SELECT user_id, cls, avg(x) AS value, CASE WHEN count(*) = 1 THEN 0.0 ELSE stddev_samp(x) / sqrt(count(*)) END AS std FROM e1 GROUP BY 1, 2), mm AS (SELECT * FROM m WHERE value <> 0),
         b AS (SELECT user_id, value AS bv, std AS bs FROM mm WHERE cls = 0), r AS (SELECT cls, CASE WHEN cls = 0 THEN 1.0 ELSE value / bv * (1 + bs * bs / (bv * bv)) END AS ratio FROM mm JOIN b USING (user_id))
         SELECT cls, cls || 'A' AS label, round(avg(ratio), 3) AS value FROM r GROUP BY 1""",
