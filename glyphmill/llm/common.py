@@ -132,10 +132,10 @@ def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512) -> Iterator[p
     release_memory()
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], key: str, chunk: int = 4096) -> Iterator[pa.Table]:
+def key_groups(batches: Iterator[pa.RecordBatch], key: str, chunk: int = 4096, singles: bool = False) -> Iterator[pa.Table]:
     """Groups of rows with one key, from batches that are sorted by it.
 
-    Only the rows of one group and one batch are held. The caller bounds groups.
+    Only the rows of one group and one batch are held. The caller bounds groups. Groups of one row may be left out unless ``singles``.
     """
     held: list[pa.Table] = []
     for batch in slices(batches, chunk):
@@ -152,7 +152,7 @@ def key_groups(batches: Iterator[pa.RecordBatch], key: str, chunk: int = 4096) -
                 held.append(rows.slice(a, b - a))
                 yield pa.concat_tables(held)
                 held = []
-            elif b - a > 1:
+            elif singles or b - a > 1:
                 yield rows.slice(a, b - a)
         held.append(rows.slice(starts[-1]))
     if held:

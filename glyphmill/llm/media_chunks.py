@@ -171,12 +171,12 @@ def features(made: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
     entry = f"transform(sequence(0, cast(length(recipe) / {ENTRY} as int) - 1), i -> substring(recipe, i * {ENTRY} + 1, {ENTRY}))"
     distinct = made.select("recipe_id", "recipe").dropDuplicates(["recipe_id"])
     # a place carries its own entry, not the whole recipe
-    parts = distinct.select("recipe_id", (F.octet_length("recipe") == ENTRY).alias("lone"), F.posexplode(F.expr(entry)).alias("seq", "entry")).withColumn("digest", F.expr(f"substring(entry, 1, {DIGEST})"))
+    parts = distinct.select("recipe_id", F.posexplode(F.expr(entry)).alias("seq", "entry")).withColumn("digest", F.expr(f"substring(entry, 1, {DIGEST})"))
     total = made.agg(F.sum(F.octet_length("recipe") / ENTRY)).first()[0] or 0
     often = save(parts.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > total / HOT_SHARE).select("digest"), "media-often")
     hot = F.broadcast(store.join(F.broadcast(often), "digest"))
     rest = parts.join(F.broadcast(often), "digest", "left_anti").join(store, "digest", "left")
-    columns = ["recipe_id", "lone", "seq", "entry", "packed"]
+    columns = ["recipe_id", "seq", "entry", "packed"]
     found = parts.join(hot, "digest").select(columns).unionByName(rest.select(columns))
     kind = "recipe_id binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -194,19 +194,14 @@ def features(made: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
 
     arrow = pa.schema([("recipe_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from measure((k, e, [p]) for rows in slices(batches) for k, e, p in zip(*(rows.column(i).to_pylist() for i in (0, 3, 4))))
-
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole():
-            for g in key_groups(batches, "recipe_id", 256):
+            for g in key_groups(batches, "recipe_id", 256, singles=True):
                 yield g["recipe_id"][0].as_py(), b"".join(g["entry"].to_pylist()), g["packed"].to_pylist()
 
         yield from measure(whole())
 
-    lone = found.where("lone").mapInArrow(single, kind)
-    joint = found.where("NOT lone").repartition("recipe_id").sortWithinPartitions("recipe_id", "seq").mapInArrow(several, kind)
-    return lone.unionByName(joint)
+    return found.repartition("recipe_id").sortWithinPartitions("recipe_id", "seq").mapInArrow(several, kind)
 
 
 def one(listed: bytes, packed: list[bytes], unpack) -> dict:
