@@ -323,6 +323,44 @@ def test_compound_analyzers(spark):
     assert got["星空键道", "lost"] == "lost" and got["张码", "open"] == "b1 a1 a2"
 
 
+def test_eyes_limits_and_radicals():
+    from glyphmill.operators import analyzers
+    from glyphmill.operators.matching import Component
+    from glyphmill.operators.priority import Guarded
+
+    part = {k: Component(k, []) for k in "abcdefgh"}
+    a, b, c, d, e, f = (part[k] for k in "abcdef")
+    roots = {k: [k + "1", k + "2"] for k in "abcd"} | {k: [k] for k in "ef"}
+    made = lambda name, op, *parts, order=(): analyzers.Compound(name, op, list(parts), list(order))
+    settings = analyzers.Settings(mapped={"tw", "sm", "big"}, compound_roots={"tw", "sm", "big", "un"}, small={"sm", "un"}, classes_of_root={r: [1, 2] for r in [*sum(roots.values(), []), "tw", "sm", "un", "big"]})
+    results = {k: analyzers.Result(v, extra={"forms": {2: (v, ["p"]), 1: (v[:1], ["q"]), 0: (["s"], ["t"])}}) for k, v in roots.items()}
+    run = lambda name, g: " ".join(analyzers.COMPOUNDS[name](settings, results).analyse(g).roots)
+    eye, un = made("eye", "⿰", b, c), made("un", "⿰", b, c)
+    three = made("three", "⿰", made("bc", "⿰", b, c), d)
+    for glyph, want in (
+        (made("x", "⿳", a, eye, d), "a1 a2 b1 d2"), (made("x", "⿳", e, eye, d), "e b1 c1 d2"), (made("x", "⿱", a, eye), "a1 a2 b1 b2 c1 c2"),
+        (made("x", "⿱", eye, a), "b1 c1 a1 a2"), (made("x", "⿱", three, a), "b1 c1 d1 a1 a2"), (made("x", "⿳", eye, a, d), "b1 c1 a1 d2"), (made("x", "⿱", un, a), "b1 b2 c1 c2 a1 a2"),
+        (made("x", "⿱", made("y", "⿱", a, eye), d), "a1 a2 b1 d2"), (made("x", "⿰", made("y", "⿱", eye, d), a), "b1 c1 d2 a2"), (made("x", "⿰", made("y", "⿱", a, eye), d), "a1 b1 c2 d2"),
+        (made("x", "⿰", made("y", "⿳", a, eye, e), d), "a1 b1 e d2"), (made("x", "⿲", a, b, c), "a1 a2 b1 c1 c2"), (made("x", "⿰", made("y", "⿰", a, e), c), "a1 a2 e c1 c2"), (made("x", "⿰", e, c), "e c1 c2"),
+        (made("x", "⿶", a, b), "b1 b2 a1 a2"), (made("x", "⿸", a, b), "a1 a2 b1 b2"),
+    ):
+        assert run("张码", glyph) == want, want
+    assert run("逸码", made("tw", "⿰", a, b)) == "tw 10 20 20 20 20" and run("逸码", made("x", "⿰", a, made("y", "⿱", e, b))) == "a1 a2 s s t"
+    stack = made("st", "⿱", b, c)
+    for glyph, want in (
+        (made("x", "⿰", a, b), "a1 b1 b2"), (made("x", "⿰", a, stack), "a1 b1 c1"), (made("x", "⿲", a, stack, d), "a1 b1 d1"), (made("x", "⿰", a, made("sm", "⿱", b, c)), "sm a1 a2"), (made("x", "⿰", a, made("un", "⿱", b, c)), "a1 un"),
+        (made("sm", "⿱", b, c), "sm"), (made("big", "⿱", b, c), "b1 c1 c2"), (made("x", "⿰", e, f), "e f"), (made("刘", "⿰", e, f), "f e"), (made("刘", "⿰", a, b), "a1 b1 b2"), (made("x", "⿰", a, e), "e a1 a2"),
+        (made("x", "⿴", e, a), "e a1 a2"), (made("x", "⿴", a, e), "e a1 a2"), (made("x", "⿴", a, b), "b1 a1 a2"), (made("x", "⿻", a, b), "b1 a1 a2"), (made("x", "⿶", a, e, order=[(1, 0), (0, 0)]), "e a1 a2"),
+    ):
+        assert run("冰雪飞花", glyph) == want, want
+    free = analyzers.Settings(mapped={"tw"}, optional={"tw"}, compound_roots={"tw"})
+    lists = {k: [Guarded((k,), analyzers.Result(v))] for k, v in roots.items()}
+    first_right = analyzers.FirstRight(free, results, lists)
+    tell = lambda g: [(list(x.conditions), x.value.roots) for x in first_right.analyse_dynamic(g)]
+    assert tell(made("tw", "⿰", a, b)) == [([("present", "tw")], ["tw"]), (["a", "b"], ["a1", "b1"])]
+    assert tell(made("x", "⿱", a, b)) == [(["a", "b"], ["a1", "b2"])]
+
+
 def test_robust_mean_repeats_until_nothing_goes(spark):
     """Each round loses one value of a row of ever farther ones: more rounds than any fixed few."""
     import math
