@@ -2,15 +2,15 @@
 
 For each language a suffix automaton is built over labelled text. A document is
 parsed greedily into the longest phrases that occur in that text; the language
-that needs fewest phrases per symbol wins. Automata are dense transition tables
+that needs fewest phrases per symbol wins. Every letter that training saw is a symbol of its own, in
+whatever script. Transitions over a language's commonest letters are dense tables
 in which a missing transition already points to the state after the failed
-symbol, marked by its sign, so that all segments of all documents of a batch
-move on together with one lookup per symbol.
+symbol, marked by its sign; those over its other letters are sorted pairs of state and symbol. All segments of all
+documents of a batch move on together, and a segment goes on in the state in which the one before it ends.
 
-Training is a bounded sample, and its bounds are parameters: about
-``sample_rows`` labelled rows per language, ``clip_chars`` characters of each,
-``train_symbols`` symbols per language, and ``model_symbols`` over all
-languages. Prediction reads whole texts, in segments of ``SEGMENT`` symbols.
+Training is a bounded sample, and its bounds are parameters: about ``sample_rows`` labelled rows per language, whole,
+until ``train_symbols`` symbols per language are full, and ``model_symbols`` over all
+languages (8000 a language at least), as automata are held by each worker. Prediction reads whole texts.
 
 Cases: null text or text without a letter is ``und`` with score 0; letters that
 training never saw are phrases of their own; ties go to the language that sorts
@@ -24,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import nullable, slices
 
 SEGMENT = 128
-PAD, SPACE, OTHER = 0, 1, 2
+#: Symbols: nothing, what is no letter, letters that training never saw; from ``LETTERS`` on, those it saw.
+PAD, SPACE, OTHER, LETTERS = 0, 1, 2, 3
+#: Letters of a language with columns in its dense table; all others are looked up by state and symbol.
+DENSE = 60
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -81,57 +84,105 @@ def phrases(go: list[dict[int, int]], symbols: list[int]) -> int:
     return n
 
 
+class Automaton:
+    """Transitions of one language over its own alphabet: a dense table over the commonest letters, sorted pairs of state and symbol for the others."""
+
+    def __init__(self, symbols: list[int], total: int):
+        go = suffix_automaton(symbols)
+        count = np.bincount([c for c in symbols if c >= 0], minlength=total)
+        count[:LETTERS] = 0
+        known = sorted(np.flatnonzero(count).tolist(), key=lambda c: -count[c])
+        common, rare = known[:DENSE], known[DENSE:]
+        self.width = LETTERS + len(common) + 1
+        self.rare = self.width - 1
+        self.local = np.full(total, OTHER, np.int32)  # a letter that the language doesn't have ends the phrase
+        self.local[[PAD, SPACE]] = PAD, SPACE
+        self.local[common] = LETTERS + np.arange(len(common), dtype=np.int32)
+        self.local[rare] = self.rare
+        self.root = np.zeros(total, np.int32)
+        for c, t in go[0].items():
+            if c >= 0:
+                self.root[c] = t
+        row = np.full(self.width, -1, np.int32)
+        row[SPACE] = -1 - self.root[SPACE]
+        row[LETTERS : self.rare] = -1 - self.root[common]
+        step = np.tile(row, (len(go), 1))
+        pairs = []
+        for state, edges in enumerate(go):
+            for c, t in edges.items():
+                if c >= 0:
+                    if self.local[c] == self.rare:
+                        pairs.append((state << 32 | c, t))
+                    else:
+                        step[state, self.local[c]] = t
+        step[:, PAD] = np.arange(len(go))
+        self.step = step.ravel()
+        pairs.sort()
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.targets = np.array([t for _, t in pairs], np.int32)
+
+    def move(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Next state of each; where the phrase ends, -1 - (the state that the symbol opens)."""
+        local = self.local.take(symbols)
+        out = self.step.take(state * self.width + local)
+        if self.keys.size:
+            at = np.flatnonzero(local == self.rare)
+            if at.size:
+                rare = symbols[at]
+                wanted = state[at].astype(np.int64) << 32 | rare
+                found = np.minimum(np.searchsorted(self.keys, wanted), self.keys.size - 1)
+                out[at] = np.where(self.keys[found] == wanted, self.targets[found], -1 - self.root[rare])
+        return out
+
+    def ends(self, columns: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that end in each segment (a column of ``columns``); one that ``follows`` goes on from the state in which the one before it ends.
+
+        All segments are parsed from the root first. Then those that follow are parsed again from their true
+        state, until they are in the state they were in before; where one never is, the next is parsed again.
+        """
+        depth, total = columns.shape
+        states, ended = np.empty((depth, total), np.int32), np.empty((depth, total), bool)
+        state = np.zeros(total, np.int32)
+        for j in range(depth):
+            to = self.move(state, columns[j])
+            np.less(to, 0, out=ended[j])
+            state = np.bitwise_xor(to, to >> 31, out=states[j])
+        again = np.flatnonzero(follows)
+        while again.size:
+            now, state = again, states[-1, again - 1]
+            for j in range(depth):
+                to = self.move(state, columns[j, now])
+                state = to ^ (to >> 31)
+                moved = state != states[j, now]
+                states[j, now], ended[j, now] = state, to < 0
+                now, state = now[moved], state[moved]
+                if not now.size:
+                    break
+            again = now[now + 1 < total] + 1
+            again = again[follows[again]]
+        return np.count_nonzero(ended, axis=0)
+
+
 class Model:
-    """Automata of all languages over one alphabet."""
+    """Automata of all languages; every letter of the training texts is a symbol of its own."""
 
     def __init__(self, texts: dict[str, list[str]], train_symbols: int):
         self.langs = sorted(texts)
-        seen: dict[str, int] = {}
-        for lang in self.langs:
-            for t in texts[lang]:
-                for ch in t.lower():
-                    if ch.isalpha():
-                        seen[ch] = seen.get(ch, 0) + 1
-        chars = sorted(sorted(seen), key=lambda c: -seen[c])[:60]
-        self.table = np.full(0x10000, SPACE, np.uint8)
-        letters = [c for c in range(0x10000) if chr(c).isalpha()]
-        self.table[letters] = OTHER
-        for k, ch in enumerate(chars):
-            if ord(ch) < 0x10000:
-                self.table[ord(ch)] = 3 + k
-        self.width = 3 + len(chars)
-        self.steps = []
+        chars = sorted({ch for ts in texts.values() for t in ts for ch in t.lower() if ch.isalpha()})
+        self.table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(0x110000)), np.int32, 0x110000)
+        self.table[[ord(c) for c in chars]] = LETTERS + np.arange(len(chars), dtype=np.int32)
+        self.automata = []
         for lang in self.langs:
             symbols: list[int] = []
             for t in texts[lang]:
                 symbols += [*self.fold(t).tolist(), -1]
                 if len(symbols) >= train_symbols:
                     break
-            self.steps.append(self._dense(suffix_automaton(symbols[:train_symbols])))
-
-    def _dense(self, go: list[dict[int, int]]) -> np.ndarray:
-        """Next state; where the phrase ends, -1 - (the state that the symbol opens)."""
-        root = np.zeros(self.width, np.int32)
-        for c, s in go[0].items():
-            if c >= 0:
-                root[c] = s
-        out = np.tile(-1 - root, (len(go), 1)).astype(np.int32)
-        for s, edges in enumerate(go):
-            for c, t in edges.items():
-                if c >= 0:
-                    out[s, c] = t
-        out[:, PAD] = np.arange(len(go))
-        return out.ravel()
+            self.automata.append(Automaton(symbols[:train_symbols], LETTERS + len(chars)))
 
     def fold(self, text: str) -> np.ndarray:
         """Symbols of a text: letters in lower case, a space for each run of other characters, none at the ends."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        if points.size and points.max() > 0xFFFF:
-            far = points > 0xFFFF
-            codes = self.table[np.where(far, 32, points)]
-            codes[far] = [OTHER if chr(c).isalpha() else SPACE for c in points[far].tolist()]
-        else:
-            codes = self.table[points]
+        codes = self.table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
         space = codes == SPACE
         keep = ~space
         keep[1:] |= ~space[:-1]
@@ -143,28 +194,21 @@ class Model:
         sizes = np.array([f.size for f in folded])
         segments = -(-sizes // SEGMENT)
         total = int(segments.sum())
-        cells = np.zeros((total, SEGMENT), np.uint8)
+        out = np.full((len(folded), len(self.langs)), np.nan)
+        if not total:
+            return out
+        cells = np.zeros((total, SEGMENT), np.int32)
         starts = np.r_[0, np.cumsum(segments)]
         flat = cells.reshape(-1)
         for f, s in zip(folded, starts.tolist()):
             flat[s * SEGMENT : s * SEGMENT + f.size] = f
-        columns = np.ascontiguousarray(cells.T).astype(np.int32)
-        out = np.full((len(folded), len(self.langs)), np.nan)
-        if not total:
-            return out
+        columns = np.ascontiguousarray(cells.T)
         owner = np.repeat(np.arange(len(folded)), segments)
-        for k, step in enumerate(self.steps):
-            state, ended = np.zeros(total, np.int32), np.zeros(total, np.int32)
-            for column in columns:
-                state *= self.width
-                state += column
-                state = step.take(state)
-                sign = state >> 31
-                ended -= sign
-                state ^= sign
-            ended += 1  # the phrase that a segment ends in
+        follows = np.r_[False, owner[1:] == owner[:-1]]
+        for k, automaton in enumerate(self.automata):
+            ended = np.bincount(owner, automaton.ends(columns, follows), len(folded)) + 1  # and the phrase that the text ends in
             with np.errstate(invalid="ignore", divide="ignore"):
-                out[:, k] = np.bincount(owner, ended, len(folded)) / sizes
+                out[:, k] = np.where(sizes > 0, ended / sizes, np.nan)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -172,11 +216,11 @@ class Model:
 
         The score is one less the best rate over the second best (over 1 where there is one language only).
         """
-        folded = [self.fold(t) if t else np.zeros(0, np.uint8) for t in texts]
+        folded = [self.fold(t) if t else np.zeros(0, np.int32) for t in texts]
         empty = [not (f > SPACE).any() for f in folded]
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        rates = self.rates([np.zeros(0, np.uint8) if e else f for e, f in zip(empty, folded)])
+        rates = self.rates([np.zeros(0, np.int32) if e else f for e, f in zip(empty, folded)])
         langs, scores, spans = [], [], []
         for row, none in zip(rates, empty):
             if none:
@@ -190,19 +234,25 @@ class Model:
         return langs, scores, spans
 
 
-def train(docs: DataFrame, sample_rows: int = 200, clip_chars: int = 1500, train_symbols: int = 24_000, model_symbols: int = 400_000) -> Model:
-    """Fit on the labelled rows that aren't held out; rows are chosen by a hash, so the sample doesn't depend on partitions."""
+def train(docs: DataFrame, sample_rows: int = 200, train_symbols: int = 40_000, model_symbols: int = 800_000) -> Model:
+    """Fit on the labelled rows that aren't held out; rows are chosen by a hash, so the sample doesn't depend on partitions.
+
+    Whole texts are taken in the hash's order until the language has its symbols; only those reach the driver.
+    """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
     labelled = labelled.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model({}, train_symbols)
+    symbols = min(train_symbols, max(8000, model_symbols // len(counts)))
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1 << 30, (1 << 30) * sample_rows // n)))])
-    rows = labelled.where(F.col("h") < share[F.col("lang")]).select("lang", F.substring("text", 1, clip_chars).alias("t"), "h").dropDuplicates(["lang", "h"]).collect()
+    rows = labelled.where(F.col("h") < share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    earlier = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("used", F.coalesce(F.sum(F.length("text")).over(earlier), F.lit(0))).where(F.col("used") < symbols)
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
+    for r in sorted(rows.select("lang", "h", F.substr("text", F.lit(1), (symbols - F.col("used")).cast("int")).alias("t")).collect(), key=lambda r: r["h"]):
         texts[r["lang"]].append(r["t"])
-    return Model({k: v for k, v in texts.items() if v}, min(train_symbols, max(2000, model_symbols // len(counts))))
+    return Model({k: v for k, v in texts.items() if v}, symbols)
 
 
 def identify(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_col: str = "score", span_col: str = "phrase_len") -> DataFrame:

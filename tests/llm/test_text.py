@@ -198,6 +198,26 @@ def test_automaton_parses_greedily():
         assert round(model.rates([folded])[0, 0] * folded.size) == language_id.phrases(plain, folded.tolist())
 
 
+def test_parse_goes_on_over_segments_and_knows_all_letters():
+    pick = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(400)] + list("abcdefg ")
+    texts = {"x": ["".join(pick.choice(letters) for _ in range(3000))], "y": ["".join(pick.choice("abc ") for _ in range(2000))], "z": ["ab" * 900]}
+    model = language_id.Model(texts, 5000)
+    plain = [language_id.suffix_automaton([*model.fold(texts[k][0]).tolist(), -1]) for k in model.langs]
+    asked = ["ab" * 700, texts["x"][0][50:1700], texts["y"][0][:1100] + "q" + texts["x"][0], "".join(pick.choice(letters) for _ in range(2500)), "世界" * 300, "b" + "ab" * 800, "a"]
+    folded = [model.fold(t) for t in asked]
+    for got, f in zip(model.rates(folded), folded):
+        assert [round(x * f.size) for x in got] == [language_id.phrases(go, f.tolist()) for go in plain]
+
+
+def test_languages_of_many_letters(spark):
+    rows = [(k, "世界人民大会堂今天天气很好我们去公园散步", "zh") for k in range(9)] + [(20 + k, "識別世界日本語の文章です今日は天気が良い", "ja") for k in range(9)] + [(40 + k, "the cat sat on the mat", "en") for k in range(9)] + [(60 + k, "кошка сидит на окне и смотрит", "ru") for k in range(9)]
+    asked = {100: ("世界人民很好", "zh"), 101: ("識別世界日本語", "ja"), 102: ("the mat cat", "en"), 103: ("кошка смотрит", "ru"), 104: ("the cat sat on the mat " * 4000, "en")}
+    docs = documents(spark, rows + [(k, t, None) for k, (t, _) in asked.items()])
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert {k: got[k].lang_pred for k in asked} == {k: lang for k, (_, lang) in asked.items()}
+
+
 def test_language_query_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op8_language_id(spark, sf)
