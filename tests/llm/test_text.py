@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,10 +100,53 @@ def test_url_rules_and_model(spark):
 
 
 def test_url_model_on_held_out_words():
+    """Rows that share a word of a blocked kind are held out together, and so are ordinary sites; what is left must tell them apart."""
     rows = url_filter.labelled_urls()
-    model = url_filter.train([r for k, r in enumerate(rows) if k % 5])
-    held = [(model.probability(*url_filter.parts(u)) >= 0.5) == bool(y) for u, y in rows[::5]]
-    assert sum(held) / len(held) > 0.9
+    assert all(url.count("://") == 1 for url, _ in rows) and len(set(rows)) == len(rows) and {y for _, y in rows} == {0, 1}
+    model = url_filter.train()
+    known = model.probabilities([url_filter.parts(u) for u, _ in rows]) >= 0.5
+    assert np.mean(known == np.array([y for _, y in rows])) > 0.95
+    right = total = 0
+    for fold in range(5):  # by address: the sister of a blocked word stays
+        rest = url_filter.train([r for k, r in enumerate(rows) if k % 5 != fold])
+        held = rows[fold::5]
+        right += int(((rest.probabilities([url_filter.parts(u) for u, _ in held]) >= 0.5) == np.array([y for _, y in held])).sum())
+        total += len(held)
+    assert right / total > 0.75
+    unseen = [("www.bigcasino.example.org", "/bonus"), ("bestpoker.com", "/play"), ("townlibrary.example.com", "/en/4"), ("", ""), ("thther.example.org", "/en/685")]
+    assert [bool(p) for p in model.probabilities(unseen) >= 0.5] == [True, True, False, False, False]
+
+
+def test_url_model_equals_brute_force():
+    """Probabilities one n-gram at a time, and that training ends where the loss has no slope."""
+    model = url_filter.train()
+    urls = [("", ""), ("a", "/"), ("éa.org", "/É/É/É"), ("x" * 5000 + ".com", "/y" * 9000), ("casino.net", "/win")]
+    for (host, path), got in zip(urls, model.probabilities(urls)):
+        z = model.bias
+        for seed, text, share in ((1, f"^{host}$" if host else "", 1.0), (2, path.lower(), 0.25)):
+            slots = set()
+            for n in range(3, 7):
+                for i in range(len(text) - n + 1):
+                    h = seed
+                    for c in text[i : i + n]:
+                        h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+                    slots.add((h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % url_filter.DIMENSIONS)
+            z += sum(model.weights[s] for s in slots) * share / max(1, len(slots)) ** 0.5
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-9
+    rows = [("http://a.com/x", 1), ("http://b.com/y", 0), ("http://a.com/y", 1)]
+    small = url_filter.train(rows, rounds=4000, decay=0.01)
+    parts = [url_filter.parts(u) for u, _ in rows]
+
+    def loss(w, bias):
+        p = url_filter.LogisticModel(w, bias).probabilities(parts)
+        y = np.array([y for _, y in rows])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.005 * float((w**2).sum())
+
+    least = loss(small.weights, small.bias)
+    pick = np.random.default_rng(1)
+    for _ in range(20):
+        moved = np.where(small.weights != 0, pick.normal(0, 0.02, small.weights.size), 0)
+        assert loss(small.weights + moved, small.bias + pick.normal(0, 0.02)) > least - 1e-9
 
 
 def brute_base(text):
