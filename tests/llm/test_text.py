@@ -38,13 +38,105 @@ def test_main_text_of_a_host(spark):
     assert html_wrappers.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def fits(children, nodes, w):
+    """Brute force: whether nested page nodes can be read off a sequence of expression nodes, with all ways of skipping and repeating."""
+    if not children:
+        return not nodes
+    c, rest = children[0], children[1:]
+    if c in w.optional and fits(rest, nodes, w):
+        return True
+    ends = [0]
+    for _ in range(len(nodes) if c in w.repeated else 1):
+        ends = sorted({e for at in ends for e in one(c, nodes, at, w)})
+        if any(fits(rest, nodes[e:], w) for e in ends):
+            return True
+    return False
+
+
+def one(c, nodes, at, w):
+    """Ends of one occurrence of an expression node from a place on."""
+    head = w.heads[c]
+    if head.startswith("("):
+        return [e for e in range(at + 1, len(nodes) + 1) if fits(w.children[c], nodes[at:e], w)]
+    return [at + 1] if at < len(nodes) and nodes[at][0] == head and (head == "#" or fits(w.children[c], nodes[at][1], w)) else []
+
+
+def nested(tree, node=0):
+    return [(tree.heads[k], nested(tree, k)) for k in tree.children[node]]
+
+
 def test_wrappers_are_union_free_and_cover_their_sample():
-    pages = [shell("<p>a</p>" * n + "<ul><li>x</ul>" * (n % 2), n) for n in range(1, 7)]
+    pages = [shell("<p>a</p>" * n + "<ul><li>x</ul>" * (n % 2) + "<h2>s</h2><p>t</p>" * (n % 3), n) for n in range(1, 7)]
+    wrapper = html_wrappers.infer(pages)
+    other = "<table><tr><td>x</td></tr></table>"
+    for page in pages:
+        assert fits(wrapper.children[0], nested(html_wrappers.parse(page)[0]), wrapper)
+    assert not fits(wrapper.children[0], nested(html_wrappers.parse(other)[0]), wrapper)
+    text = wrapper.expression()
+    assert ")+" in text and ")?" in text and "|" not in text
+
+
+def test_alignment_equals_brute_force():
+    """Longest common subsequence by trying all subsets, with most of what is needed."""
+    pick = random.Random(6)
+    for _ in range(200):
+        a, b = ([pick.choice("xyz") for _ in range(pick.randrange(6))] for _ in range(2))
+        needed = [pick.random() < 0.5 for _ in a]
+        found = html_wrappers._aligned(a, needed, b)
+        assert [k for _, i, j, *_ in found for k in range(i, j)] == list(range(len(a))) and [k for *_, i, j in found for k in range(i, j)] == list(range(len(b)))
+        kept = [k for same, i, j, *_ in found if same for k in range(i, j)]
+        assert [a[k] for k in kept] == [b[k] for same, _, _, i, j in found if same for k in range(i, j)]
+
+        def common(chosen):
+            rest = iter(b)
+            return all(a[k] in rest for k in chosen)
+
+        best = max((len(c), sum(needed[k] for k in c)) for bits in range(1 << len(a)) for c in [[k for k in range(len(a)) if bits >> k & 1]] if common(c))
+        if a != b:
+            assert (len(kept), sum(needed[k] for k in kept)) == best
+
+
+def test_random_pages_are_instances_of_their_wrapper():
+    pick = random.Random(7)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else 'x'}</{t}>" for t in (pick.choice(["b", "i", "div"]) for _ in range(pick.randrange(4)))) or "t"
+
+    for _ in range(60):
+        pages = [some(2) for _ in range(pick.randrange(1, 4))]
+        wrapper = html_wrappers.infer(pages)
+        for page in pages:
+            assert fits(wrapper.children[0], nested(html_wrappers.parse(page)[0]), wrapper)
+            tree, texts = html_wrappers.parse(page)
+            assert all(wrapper.heads[k] == "#" for k in wrapper.bind(tree, len(texts)) if k >= 0)
+
+
+def test_the_expression_decides():
+    pages = [f"<div><a href=/>Home</a><a href=/n>News</a></div><div>Story {k} of many<br>and more {k}</div><span>Print this</span><div>{'Sports' if k else 'News'}</div>" for k in range(3)]
     wrapper = html_wrappers.infer(pages)
-    assert all(html_wrappers.conforms(p, wrapper) for p in pages)
-    flat = str(wrapper["expression"])
-    assert "'+'" in flat and "'?'" in flat
-    assert not html_wrappers.conforms("<table><tr><td>x</td></tr></table>", wrapper)
+    got = [html_wrappers.extract(p, wrapper) for p in pages]
+    assert got == [f"Story {k} of many\nand more {k}\n{'Sports' if k else 'News'}" for k in range(3)]
+    assert all(html_wrappers.extract(p, None) != t for p, t in zip(pages, got))
+    empty = html_wrappers.Wrapper()
+    empty.template = wrapper.template  # no expression, no slots
+    assert all(html_wrappers.extract(p, empty) == html_wrappers.extract(p, None) for p in pages)
+    copies = [pages[0]] * 3  # one article tells nothing
+    assert html_wrappers.extract(pages[0], html_wrappers.infer(copies)) == html_wrappers.extract(pages[0], None)
+    moved = pages[1].replace("Print this", "Print that")
+    assert "Print that" in html_wrappers.extract(moved, wrapper)
+
+
+def test_template_slots_are_counted_over_all_pages(spark):
+    """A text that is the same in the sample only stays everywhere; wrappers joined to pages give what held ones give."""
+    rows = [(k, "http://h.org/", f"<article><h1>T{k}</h1><div>{'News' if k != 777 else 'Sports'}</div><span>Print</span><p>text {k}</article>") for k in range(1000)]
+    pages = spark.createDataFrame(rows, PAGES)
+    want = {k: f"T{k}\n{'News' if k != 777 else 'Sports'}\ntext {k}" for k in range(1000)}
+    assert {r.page_id: r.text for r in html_wrappers.extract_text(pages).collect()} == want
+    held, html_wrappers.HELD_BYTES = html_wrappers.HELD_BYTES, -1
+    try:
+        assert {r.page_id: r.text for r in html_wrappers.extract_text(pages).collect()} == want
+    finally:
+        html_wrappers.HELD_BYTES = held
 
 
 def test_broken_markup_never_fails():
