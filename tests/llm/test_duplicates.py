@@ -304,3 +304,20 @@ def test_frequent_lines_are_joined_apart(spark, monkeypatch):
     rows = [(k, "the same line in all of them\n" + " ".join(random.Random(k).choices(["ab", "cde", "fghi", "jk", "lmnop", "qrs", "tuv"], k=14))) for k in range(30)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_report(documents(spark, rows)).collect()}
     assert got == {k: int(k > 0) for k in range(30)}
+
+
+def test_fine_trigrams_never_reject_what_is_near():
+    pick = random.Random(12)
+    pairs, most = [], []
+    for _ in range(300):
+        x = [pick.choice("abcd é世") for _ in range(pick.choice([10, 40, 300]))]
+        y = list(x)
+        for _ in range(pick.randrange(1 + len(x) // 5)):
+            at = pick.randrange(len(y))
+            y[at : at + pick.randrange(2)] = pick.choice([[], ["z"], ["a"]])
+            y = y or ["a"]
+        a, b = (line_dedup.code_points("".join(v)) for v in (x, y))
+        pairs.append((a, b)), most.append(max(len(a), len(b)) // 10)
+    most = np.array(most)
+    near = line_dedup.within(pairs, most)
+    assert near.any() and not near.all() and not (near & ~line_dedup.may_be_within(pairs, most)).any()
