@@ -71,8 +71,17 @@ def label(pooled: DataFrame, distance: str, order: str) -> DataFrame:
 
 
 def user_ranking(samples: DataFrame, user: str, value: str) -> DataFrame:
-    """(user, n, mean): samples and rounded mean time."""
-    return samples.groupBy(user).agg(F.count("*").alias("n"), F.round(F.avg(value)).cast("bigint").alias("mean"))
+    """(user, n, mean): samples and rounded mean time.
+
+    Times are summed as decimals of ten places, so that a mean of exactly a half is rounded alike in whatever order rows
+    come; users with a time that isn't such a decimal have the mean of doubles.
+    """
+    exact = F.col("t").try_cast("decimal(24, 10)")
+    other = F.max(F.col("t").isNotNull() & ~exact.cast("double").eqNullSafe(F.col("t").cast("double")))
+    sums = samples.select(user, F.col(value).alias("t")).groupBy(user).agg(F.count("*").alias("n"), F.count("t").alias("known"), F.sum(exact).alias("s"), other.alias("other"), F.avg("t").alias("plain"))
+    away = F.expr("(abs(s + s) + known) DIV nullif(2 * known, 0)")
+    mean = F.when(F.col("other"), F.round("plain").cast("bigint")).otherwise(F.when(F.col("s") < 0, -away).otherwise(away))
+    return sums.select(user, "n", mean.alias("mean"))
 
 
 def key_pairs(spark) -> DataFrame:

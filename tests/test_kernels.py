@@ -379,3 +379,12 @@ def test_robust_mean_repeats_until_nothing_goes(spark):
     assert rounds > 8
     got = timing.robust_mean(spark.createDataFrame([("a", x) for x in values], "k string, v double"), ["k"], "v").first()
     assert (got.n, got.raw) == (len(left), len(values)) and abs(got.value - sum(left) / len(left)) < 1e-9
+
+
+def test_ranking_rounds_means_of_a_half_alike_in_any_order(spark):
+    half = [25.9, 51.08, 55.07, 45.3, 56.5, 3.15]  # 39.5 on average; sums of doubles fall below that from either end
+    values = {1: half, 2: half[::-1], 3: [-x for x in half], 4: [None, 1.49], 5: [None], 6: [1e-12, 0.5], 8: [4e7] * 3 + [1.0] * 3}
+    rows = [(k, x) for k, xs in values.items() for x in xs]
+    for some in (rows, rows[::-1]):
+        got = {r.u: (r.n, r["mean"]) for r in timing.user_ranking(spark.createDataFrame(some, "u bigint, v double"), "u", "v").collect()}
+        assert got == {1: (6, 40), 2: (6, 40), 3: (6, -40), 4: (2, 1), 5: (1, None), 6: (2, 0), 8: (6, 20000001)}
