@@ -321,3 +321,19 @@ def test_fine_trigrams_never_reject_what_is_near():
     most = np.array(most)
     near = line_dedup.within(pairs, most)
     assert near.any() and not near.all() and not (near & ~line_dedup.may_be_within(pairs, most)).any()
+
+
+@pytest.mark.parametrize("banded", [8, 1])
+def test_large_groups_of_lines_grow_in_proportion_by_bands(spark, monkeypatch, banded):
+    monkeypatch.setattr(line_dedup, "BANDED", banded, raising=False)
+    pick = random.Random(3)
+    size = [pick.choice([10, 90, 99, 100, 110, 111, 900, 1000]) + pick.randrange(200) for _ in range(400)]
+    met = spark.createDataFrame([(7, 7, k, n, 0, True) for k, n in enumerate(size)] + [(8, 1, 1, 10, 0, False), (8, 1, 2, 10, 0, False)], "node bigint, least bigint, id bigint, size int, sim bigint, hot boolean")
+    at = {}
+    for r in line_dedup.dealt_nodes(met, 90, group_lines=40, group_bytes=1 << 20).collect():
+        at.setdefault(r.id, set()).add(r.node)
+    assert 8 in at[1] and 8 in at[2]
+    for a, n in enumerate(size):
+        for b, m in enumerate(size[:a]):
+            assert 10 * min(n, m) < 9 * max(n, m) or at[a] & at[b]
+    assert sum(map(len, at.values())) <= (2 * len(size) + 2 if banded == 8 else 20 * len(size))
