@@ -22,6 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ UNIT = 192
 LEAST, SPREAD_BITS, MOST = 192, 9, 4096
 #: A chunk in more than this share of all places is joined by broadcast: there are no more than its reciprocal of them.
 HOT_SHARE = 1000
+#: Parts of chunks, and of recipes, that are dealt out one after another, so that the shuffle of one is gone before the next.
+PASSES = 2
 DICTIONARY_ROWS, DICTIONARY_CLIP, DICTIONARY_BYTES = 2000, 6000, 112_640
 GEAR = np.random.default_rng(192).integers(0, 1 << 32, 256, dtype=np.uint32)
 DIGEST = 16
@@ -121,8 +124,8 @@ def fit_dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
-def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 9) -> DataFrame:
-    """(digest, packed): the compressed chunks of all documents, without repeats within a stretch of a task."""
+def chunk_rows(docs: DataFrame, dictionary: bytes, part: int, parts: int, level: int = 9) -> DataFrame:
+    """(digest, packed): the compressed chunks of all documents whose digests are of one part, without repeats within a stretch of a task."""
     held = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +138,10 @@ def chunk_rows(docs: DataFrame, dictionary: bytes, level: int = 9) -> DataFrame:
                 seen.clear()
             digests, packed = [], []
             for t in text_bytes(rows.column(0)):
-                _, chunks = recipe(payload(t))
-                for c in chunks:
-                    d = digest(c)
-                    if d not in seen:
+                listed, chunks = recipe(payload(t))
+                for k, c in enumerate(chunks):
+                    d = listed[k * ENTRY : k * ENTRY + DIGEST]
+                    if d[0] % parts == part and d not in seen:
                         seen.add(d)
                         digests.append(d), packed.append(pack(c))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["digest", "packed"])
@@ -152,12 +155,14 @@ def store_chunks(docs: DataFrame, dictionary: bytes, existing: DataFrame | None
     Chunks that ``existing`` has are left out by an anti-join.
     """
     spark = docs.sparkSession
-    new = chunk_rows(docs, dictionary)
-    if existing is not None:
-        new = new.join(existing.select("digest"), "digest", "left_anti")
     name = f"glyphmill_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with_cleanup(spark, lambda: new.dropDuplicates(["digest"]).write.format("parquet").bucketBy(buckets, "digest").saveAsTable(name))
+    for part in range(PASSES):
+        new = chunk_rows(docs, dictionary, part, PASSES)
+        if existing is not None:
+            new = new.join(existing.select("digest"), "digest", "left_anti")
+        rows = new.dropDuplicates(["digest"]).write.format("parquet").mode("append" if part else "error").bucketBy(buckets, "digest")
+        with_cleanup(spark, lambda rows=rows: rows.saveAsTable(name))
     out = spark.table(name)
     out._table = name
     return out
@@ -238,7 +243,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     dictionary = fit_dictionary(docs)
     made = save(recipes(docs), "media-recipes")
     store = store_chunks(docs, dictionary)
-    back = save(features(made, store, dictionary), "media-features")
+    turn = F.pmod(F.xxhash64("recipe_id"), F.lit(PASSES))
+    back = reduce(DataFrame.unionByName, [save(features(made.where(turn == k), store, dictionary), "media-features") for k in range(PASSES)])
     out = made.select("doc_id", "n_bytes", "recipe_id").join(back, "recipe_id")
     out = out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     out._table, out._recipes, out._dictionary = store._table, made, dictionary

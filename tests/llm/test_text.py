@@ -455,3 +455,12 @@ def test_pipeline_keeps_other_columns_and_odd_rows(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = out
+
+
+def test_chunks_are_dealt_out_in_parts(spark):
+    pick = random.Random(9)
+    docs = documents(spark, [(k, "".join(pick.choice("abcdefgh ij\n") for _ in range(20_000))) for k in range(4)])
+    listed = {r.recipe[k : k + 16] for r in media_chunks.recipes(docs).collect() for k in range(0, len(r.recipe), media_chunks.ENTRY)}
+    parts = [{r.digest for r in media_chunks.chunk_rows(docs, b"", k, media_chunks.PASSES).collect()} for k in range(media_chunks.PASSES)]
+    assert not parts[0] & parts[1] and set.union(*parts) == listed
+    assert max(map(len, parts)) < 0.7 * len(listed)
