@@ -337,3 +337,37 @@ def test_large_groups_of_lines_grow_in_proportion_by_bands(spark, monkeypatch, b
         for b, m in enumerate(size[:a]):
             assert 10 * min(n, m) < 9 * max(n, m) or at[a] & at[b]
     assert sum(map(len, at.values())) <= (2 * len(size) + 2 if banded == 8 else 20 * len(size))
+
+
+def test_letters_of_lines_never_reject_what_is_near():
+    pick = random.Random(13)
+    texts, near = [], []
+    for _ in range(300):
+        x = "".join(pick.choice("abcdefgh 09é世界") for _ in range(pick.choice([10, 40, 300, 3000]))).strip() or "a"
+        y = edited(pick, x, pick.randint(1, 1 + len(x) // 8)).strip() or "b"
+        made = line_dedup.Lines([x, y])
+        if len(made) == 2:
+            a, b = (line_dedup.code_points(made.line(k).decode()) for k in (0, 1))
+            texts += [x, y]
+            near.append(bool(line_dedup.within([(a, b)], np.array([max(len(a), len(b)) // 10]))[0]))
+    made = line_dedup.Lines(texts)
+    letters, size = line_dedup.letter_counts(made.bytes, made.start, made.stop), made.sizes()
+    for k in range(0, len(made), 37):
+        want = np.bincount([c.encode()[-1] & 31 for c in made.line(k).decode()], minlength=32)
+        assert (letters[k] == want % 256).all()
+    may = line_dedup.near_letters(letters[::2], letters[1::2], size[::2], size[1::2], 90)
+    assert any(near) and not all(near) and not (np.array(near) & ~may).any() and not may.all()
+
+
+def test_lines_that_meet_by_chance_are_no_nodes(spark):
+    pick = random.Random(14)
+    texts = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) + "x" for _ in range(90)]
+    alike = texts[7][:60] + "q" + texts[7][61:]
+    for some, blocks in ((texts, set()), ([*texts, alike], {7, 90})):  # one group, large and small
+        made = line_dedup.Lines(some)
+        letters, size = line_dedup.letter_counts(made.bytes, made.start, made.stop), made.sizes()
+        rows = [(key, k, int(size[k]), 0, bytearray(letters[k].tobytes())) for key, n in ((1, len(some)), (2, 3)) for k in range(len(some) - n, len(some))]
+        rows += [(3, k, int(size[k]), 0, bytearray(letters[k].tobytes())) for k in sorted(blocks)]
+        keyed = spark.createDataFrame(rows, "key bigint, id bigint, size int, sim bigint, letters binary")
+        met = {r.id for r in line_dedup.meetings(keyed, 90, 2000, 8 << 20).collect()}
+        assert blocks <= met and len(met) < 10
