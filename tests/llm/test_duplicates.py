@@ -1,5 +1,6 @@
 """Operators 5, 6 and 10 against brute force."""
 
+import os
 import random
 import re
 
@@ -371,3 +372,9 @@ def test_lines_that_meet_by_chance_are_no_nodes(spark):
         keyed = spark.createDataFrame(rows, "key bigint, id bigint, size int, sim bigint, letters binary")
         met = {r.id for r in line_dedup.meetings(keyed, 90, 2000, 8 << 20).collect()}
         assert blocks <= met and len(met) < 10
+
+
+def test_tables_are_saved_without_checksum_files(spark):
+    saved = common.save(spark.range(50).repartition(3), "test-plain")
+    files = os.listdir(saved._saved_path.removeprefix("file://").removeprefix("file:"))
+    assert saved.count() == 50 and any(f.endswith(".parquet") for f in files) and not any(f.endswith(".crc") for f in files)
