@@ -378,3 +378,46 @@ def test_tables_are_saved_without_checksum_files(spark):
     saved = common.save(spark.range(50).repartition(3), "test-plain")
     files = os.listdir(saved._saved_path.removeprefix("file://").removeprefix("file:"))
     assert saved.count() == 50 and any(f.endswith(".parquet") for f in files) and not any(f.endswith(".crc") for f in files)
+
+
+def test_pairs_are_verified_side_by_side(monkeypatch):
+    pick = random.Random(15)
+    words = ["".join(pick.choice("abcdeé世") for _ in range(pick.randrange(1, 8))) for _ in range(60)]
+    pairs, most = [], []
+    for _ in range(400):
+        x = [pick.choice(words) for _ in range(pick.choice([1, 3, 12, 30]))]
+        y = [w for w in x if pick.random() < 0.95]
+        for _ in range(pick.randrange(4)):
+            y.insert(pick.randrange(len(y) + 1), pick.choice(words))
+        pairs.append((" ".join(x), " ".join(y))), most.append(pick.randrange(30))
+    pairs += [("", ""), ("", "ab"), ("ab", ""), ("a b", "b a"), ("x" * 700, "x" * 300 + "y" * 400), ("x" * 700, "y" + "x" * 700)]
+    most += [0, 1, 2, 2, 400, 1]
+    want = [plain_distance(a, b) <= m for (a, b), m in zip(pairs, most)]
+    said = [line_dedup.aligned(a, b, m) for (a, b), m in zip(pairs, most)]
+    assert all(w for w, s in zip(want, said) if s) and sum(said) > 0.5 * sum(want) and not all(want)
+    points = [tuple(map(line_dedup.code_points, p)) for p in pairs]
+    monkeypatch.setattr(line_dedup, "bit_vector_distance", None)  # none is verified alone
+    assert line_dedup._banded(points, np.array(most)).tolist() == want
+
+
+def test_keys_are_dealt_out_many_in_a_row(spark, monkeypatch):
+    pick = random.Random(16)
+    rows = [(k, 100 + k % 7, pick.getrandbits(60), bytearray(32), bytearray(np.array([pick.randrange(40) for _ in range(12)], "<i8").tobytes())) for k in range(500)]
+    lines = spark.createDataFrame(rows, "id bigint, size int, sim bigint, letters binary, keys binary").repartition(2)
+    kind = line_dedup._KEYED
+    got = [(r.bucket, x) for turn in range(3) for r in line_dedup.dealt_keys(lines, 3, turn, 4).collect() for x in np.frombuffer(r.rows, kind)]
+    assert sum(line_dedup.dealt_keys(lines, 3, turn, 4).count() for turn in range(3)) <= 3 * 2 * 4
+    assert sorted((int(x["id"]), int(x["key"]), int(x["size"]), int(x["sim"])) for _, x in got) == sorted((k, int(key), n, s) for k, n, s, _, keys in rows for key in np.frombuffer(bytes(keys), "<i8"))
+    assert len({(b, int(x["key"])) for b, x in got}) == 40
+    monkeypatch.setattr(line_dedup, "BUCKET_KEYS", 20)  # large groups are passed on before a bucket is whole
+    met = line_dedup.meetings(lines.withColumn("sim", lines.id * 0), 90, 130, 8 << 20, buckets=4).collect()
+    of = {}
+    for k, *_, keys in rows:
+        for key in np.frombuffer(bytes(keys), "<i8").tolist():
+            of.setdefault(key, set()).add(k)
+    hot = {}
+    for r in met:
+        if r.hot:
+            hot.setdefault(r.node, set()).add(r.id)
+    assert hot == {key: ids for key, ids in of.items() if len(ids) > 130} and 0 < len(hot) < 40
+    assert {r.id for r in met if not r.hot} == set().union(*(ids for key, ids in of.items() if key not in hot))
