@@ -421,3 +421,39 @@ def test_keys_are_dealt_out_many_in_a_row(spark, monkeypatch):
             hot.setdefault(r.node, set()).add(r.id)
     assert hot == {key: ids for key, ids in of.items() if len(ids) > 130} and 0 < len(hot) < 40
     assert {r.id for r in met if not r.hot} == set().union(*(ids for key, ids in of.items() if key not in hot))
+
+
+def test_large_groups_are_parted_by_what_may_be_alike(spark):
+    pick = random.Random(17)
+    texts = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) + "x" for _ in range(300)]
+    pairs = {(k, 300 + k // 50) for k in range(7, 300, 50)}
+    texts += [texts[a][:60] + "q" + texts[a][61:] for a, _ in sorted(pairs)]
+    made = line_dedup.Lines(texts)
+    letters, size = line_dedup.letter_counts(made.bytes, made.start, made.stop), made.sizes()
+    rows = [(key, k, int(size[k]), 0, bytearray(letters[k].tobytes())) for key in (1, 2) for k in range(len(texts))]
+    keyed = spark.createDataFrame(rows, "key bigint, id bigint, size int, sim bigint, letters binary")
+    seen = []
+    for group_lines in (2000, 40, 10):  # one group, bands of length, block against block
+        met = line_dedup.meetings(keyed, 90, group_lines, 8 << 20)
+        assert {r.hot for r in met.collect()} == {group_lines < 2000}
+        nodes = {}
+        for r in line_dedup.dealt_nodes(met, 90, group_lines, 8 << 20).collect():
+            nodes.setdefault((r.node, r.least), []).append(r.id)
+        assert pairs <= {tuple(sorted(x)) for x in nodes.values()}  # pairs are nodes of their own, in one group or in several
+        seen.append(sum(map(len, nodes.values())))
+    assert max(seen) < 40
+
+
+def test_long_bands_of_few_and_many_pairs():
+    pick = random.Random(18)
+    pairs, most = [], []
+    for n, many in ((90, 40), (1500, 3), (1500, 24)):
+        for _ in range(many):
+            x = "".join(pick.choice("abcdefgh é") for _ in range(n))
+            y = edited(pick, x, pick.randint(1, n // 8))
+            pairs.append((line_dedup.code_points(x), line_dedup.code_points(y)))
+            distance = plain_distance(x, y) if n < 100 else line_dedup.bit_vector_distance(*pairs[-1], 2 * n)
+            most.append(distance - len(most) % 2 if len(most) % 3 else n // 10)
+    want = [line_dedup.bit_vector_distance(x, y, m) <= m for (x, y), m in zip(pairs, most)]
+    assert line_dedup.within(pairs, np.array(most)).tolist() == want == line_dedup._banded(pairs, np.array(most)).tolist()
+    assert any(want) and not all(want)
